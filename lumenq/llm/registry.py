@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_format, html_extract, license_scan, toxicity
+from . import chat_format, html_extract, license_scan, mixing, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_chat_template": chat_format.op2_chat_template,
         "op3_license_patience": license_scan.op3_license_patience,
+        "op6_entropy_mix": mixing.op6_entropy_mix,
         "op7_weak_supervision": toxicity.op7_weak_supervision,
         "op9_site_style_tree": html_extract.op9_site_style_tree,
     }
