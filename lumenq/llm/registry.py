@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, html_extract, license_scan, mixing, quality_rules, toxicity
+from . import chat_format, decontaminate, html_extract, license_scan, mixing, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_license_patience": license_scan.op3_license_patience,
         "op6_entropy_mix": mixing.op6_entropy_mix,
         "op7_weak_supervision": toxicity.op7_weak_supervision,
+        "op10_spaced_seeds": decontaminate.op10_spaced_seeds,
         "op9_site_style_tree": html_extract.op9_site_style_tree,
     }
 
