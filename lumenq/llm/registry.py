@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, license_scan, mixing, quality_rules, toxicity
+from . import chat_format, decontaminate, html_extract, license_scan, mixing, pii, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_chat_template": chat_format.op2_chat_template,
         "op3_license_patience": license_scan.op3_license_patience,
+        "op4_contextual_pii": pii.op4_contextual_pii,
         "op6_entropy_mix": mixing.op6_entropy_mix,
         "op7_weak_supervision": toxicity.op7_weak_supervision,
         "op10_spaced_seeds": decontaminate.op10_spaced_seeds,
