@@ -38,7 +38,7 @@ LABELLED = r"(?<!\p{L})\p{L}{2,20}+ {0,2}+[=:#] {0,2}+[\"']?+(?=[A-Za-z_-]*+[0-9
 LABEL = r"^(\p{L}+ {0,2}[=:#] {0,2}[\"']?)"
 #: Forms known in advance: access key identifiers and tokens with a published prefix.
 SEED_FORM = r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{24})(?![A-Za-z0-9_-])"
-SEED_LABEL = r"(?i)^(?:password|passwd|secret|apikey|ssn|iban|passport)$"
+SEED_LABEL = r"(?i)^(?:password|passwd|secret|token|apikey|ssn|iban|passport)$"
 
 _ITEM = "array<struct<start:bigint,end:bigint,value:string>>"
 
