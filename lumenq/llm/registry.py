@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, license_scan, mixing, pii, quality_rules, toxicity
+from . import chat_format, decontaminate, html_extract, jaccard_join, license_scan, mixing, pii, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_entropy_mix": mixing.op6_entropy_mix,
         "op7_weak_supervision": toxicity.op7_weak_supervision,
         "op10_spaced_seeds": decontaminate.op10_spaced_seeds,
+        "op8_universe_partition": jaccard_join.op8_universe_partition,
         "op9_site_style_tree": html_extract.op9_site_style_tree,
     }
 
