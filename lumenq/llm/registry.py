@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, license_scan, mixing, pii, quality_rules, toxicity
+import corpus_pipeline
+
+from . import chat_format, decontaminate, html_extract, jaccard_join, license_scan, mixing, pii, quality_rules, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_chat_template": chat_format.op2_chat_template,
         "op3_license_patience": license_scan.op3_license_patience,
         "op4_contextual_pii": pii.op4_contextual_pii,
+        "op5_suffix_trees": substring_dedup.op5_suffix_trees,
         "op6_entropy_mix": mixing.op6_entropy_mix,
         "op7_weak_supervision": toxicity.op7_weak_supervision,
         "op10_spaced_seeds": decontaminate.op10_spaced_seeds,
