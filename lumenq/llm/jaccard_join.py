@@ -15,9 +15,11 @@ sum(t_i + 1) > (|r| + |s|) / 9, then r meets the threshold in one of them.
   thus left out wherever a text has enough others.
 * Sets for which no allocation reaches the sum are joined by their elements (``_by_elements``).
 * Candidates: buckets of equal subsets with a prober. Up to ``DIRECT`` sets a bucket gives all its pairs.
-  A larger bucket gives a star from its first set; after the verified links are joined into components, the
-  sets outside the bucket's main component meet all others in the bucket. So no pair that could join two
-  components is left out, and groups of any size never give all their pairs.
+  A larger bucket gives a star from its first set; buckets that stars connect share a hub, and what is left
+  to find is links between different components of a hub's sets (``_across``): every set is held as its
+  difference from the hub, of which two similar sets must share a stated part, so that they meet under one of
+  the rarest elements of their differences. No pair that could join two components is left out, and groups
+  of near copies never give all their pairs.
 * Verification compares whole sets.
 
 Equal sets are one node from the start: nodes are hashes of sets, and a second hash tells if two different
@@ -186,6 +188,8 @@ def keys_of(h: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarr
     return np.concatenate(keys), np.concatenate(probes), whole
 
 
+#: The key under which sets go that no allocation serves.
+_UNMET = -(1 << 63) + 12345
 _NO_HOT = (np.empty(0, _U), np.empty(0, np.int64))
 
 
@@ -197,23 +201,22 @@ def node_of(h: np.ndarray, seed: int) -> tuple[int, int]:
 
 
 def _nodes(documents: DataFrame, seed: int) -> DataFrame:
-    """doc_id, n_shingles, node, check, whole."""
+    """doc_id, n_shingles, node, check."""
 
     def run(batches):
         known = _Words(seed)
         for batch in batches:
-            n, node, check, whole = [], [], [], []
+            n, node, check = [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text, known)
                 n.append(len(h))
                 a, b = node_of(h, seed) if len(h) else (None, None)
                 node.append(a)
                 check.append(b)
-                whole.append(keys_of(h, _NO_HOT)[2] if len(h) else True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(whole, pa.bool_())], names=["doc_id", "n_shingles", "node", "check", "whole"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64())], names=["doc_id", "n_shingles", "node", "check"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, check long, whole boolean")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, check long")
 
 
 def _rows(documents: DataFrame, seed: int, hot) -> DataFrame:
@@ -234,10 +237,13 @@ def _rows(documents: DataFrame, seed: int, hot) -> DataFrame:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(node)
-                k, probe, _ = keys_of(h, common)
+                k, probe, whole = keys_of(h, common)
                 keys.append(k.view(np.int64))
                 nodes.append(np.where(probe, node + _SIGN, node))
                 n += len(k)
+                if not whole:
+                    keys.append(np.array([_UNMET], np.int64))
+                    nodes.append(np.array([node], np.int64))
                 if n > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
                     keys, nodes, n = [], [], 0
@@ -292,6 +298,9 @@ def _buckets(rows: DataFrame) -> DataFrame:
             look[:1] = look[-1:] = True
             at = np.flatnonzero(look)
             for x, node in zip(k[at].tolist(), v[at].tolist(), strict=True):
+                if x == _UNMET:
+                    put(node, 0, _UNMET)
+                    continue
                 if x != key:
                     close()
                     key, held, count, last, first = x, [], 0, None, node
@@ -321,9 +330,8 @@ def _triples(a, b, c):
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, c)], names=["a", "b", "key"])
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
-    """Of pairs (a, b) those whose sets have Jaccard 0.8 or more: a, b, shared, na, nb."""
-    spark = documents.sparkSession
+def _with_sets(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
+    """a, b, x, y: pairs of nodes with their sets (sorted hashes, as bytes)."""
     wanted = stage(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "jaccard-wanted")
     ids = stage(nodes.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("first")).select(F.col("first"), F.col("node").alias("of")), "jaccard-ids")
     if ids.count() <= BROADCAST_IDS:
@@ -335,18 +343,25 @@ def _verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, seed: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, known).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "set"])
 
     held = documents.join(ids, F.col("doc_id") == F.col("first")).select(F.col("of").alias("node"), "text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"])
+    left = held.select(F.col("node").alias("a"), F.col("set").alias("x"))
+    right = held.select(F.col("node").alias("b"), F.col("set").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each element of x whether y has it; both sorted and not empty."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
+    """Of pairs (a, b) those whose sets have Jaccard 0.8 or more: a, b, shared, na, nb."""
 
     def compare(batches):
         for batch in batches:
             keep, shared, na, nb = [], [], [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                if len(x) < len(y):
-                    at = np.searchsorted(y, x)
-                    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                else:
-                    at = np.searchsorted(x, y)
-                    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+                both = int((_common(x, y) if len(x) < len(y) else _common(y, x)).sum())
                 keep.append(100 * both >= 80 * (len(x) + len(y) - both))
                 shared.append(both)
                 na.append(len(x))
@@ -354,15 +369,62 @@ def _verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, seed: in
             got = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(na, pa.int64()), pa.array(nb, pa.int64())], names=["a", "b", "shared", "na", "nb"])
             yield got.filter(pa.array(keep, pa.bool_()))
 
-    left = held.select(F.col("node").alias("a"), F.col("set").alias("x"))
-    right = held.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    out = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, shared long, na long, nb long")
-    out = stage(out, "jaccard-links")
-    release(spark)
+    out = stage(_with_sets(pairs, documents, nodes, seed).mapInArrow(compare, "a long, b long, shared long, na long, nb long"), "jaccard-links")
+    release(documents.sparkSession)
     return out
 
 
-def _by_elements(documents: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
+def _across(stars: DataFrame, links: DataFrame, documents: DataFrame, nodes: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Links of sets to their hubs, and candidate pairs in different components of a hub's sets.
+
+    A hub h is the smallest node of what stars (a, b) connect. D(r) is the difference of r and h, removed
+    elements told from added ones. |r ^ s| = |D(r) ^ D(s)|, so with k = (|r| + |s|) / 9 a link needs
+    |D(r) & D(s)| >= (|D(r)| + |D(s)| - k) / 2. Two sets that aren't both in h's component have one, r, that isn't
+    linked with h, so |D(r)| > (|r| + |h|) / 9 and the bound is above 0 (and above half of |D(s)| or nearly so). With
+    differences sorted by how rare their elements are under the hub, the first shared element comes so early
+    in both that the bound can still be met: pairs meet under such elements only.
+    """
+    hubs = components(stars).select("label", "node").where("label <> node")
+
+    def differences(batches):
+        for batch in batches:
+            near, diffs, nh, nr = [], [], [], []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+                gone, new = x[~_common(x, y)], y[~_common(y, x)]
+                both = len(x) - len(gone)
+                near.append(100 * both >= 80 * (len(x) + len(y) - both))
+                diffs.append(np.concatenate((new, ~gone)).view(np.int64))
+                nh.append(len(x))
+                nr.append(len(y))
+            ends = np.cumsum([0, *map(len, diffs)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(near, pa.bool_()), pa.array(nh, pa.int64()), pa.array(nr, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(diffs) if diffs else np.empty(0, np.int64)))],
+                names=["hub", "r", "near", "nh", "n", "d"],
+            )
+
+    told = _with_sets(hubs.select(F.col("label").alias("a"), F.col("node").alias("b")), documents, nodes, seed).mapInArrow(differences, "hub long, r long, near boolean, nh long, n long, d array<long>")
+    told = stage(told, "jaccard-differences")
+    labels = components(links)
+    told = stage(told.join(labels, F.col("r") == F.col("node"), "left").withColumn("label", F.coalesce("label", "r")).drop("node"), "jaccard-told")
+    one = told.select("hub", "r", F.explode("d").alias("e"))
+    rare = one.groupBy("hub", "e").agg(F.count("*").alias("f"))
+    # An element that only one set has can't be shared: it keeps its place in the order, but needs no row.
+    shared = stage(rare.where("f > 1"), "jaccard-shared")
+    order = one.join(shared, ["hub", "e"]).groupBy("hub", "r").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("o"))
+    rows = told.join(order, ["hub", "r"]).withColumn("nd", F.size("d")).withColumn("lone", F.size("d") - F.size("o")).drop("d")
+    rows = rows.select("hub", "r", "near", "nh", "n", "nd", "label", "lone", F.posexplode("o").alias("p", "fe")).select("hub", "r", "near", "nh", "n", "nd", "label", F.col("fe.e").alias("e"), (F.col("lone") + F.col("p")).alias("at"))
+    # Twice the bound times 9 is 9 (|D(r)| + |D(s)|) - |r| - |s|; the place of a shared element leaves at least the bound.
+    rows = stage(rows.where("18 * at <= 18 * nd - if(near, 9 * nd + nh - n, least(9 * nd + nh - n, 9 * nd - n - nh))"), "jaccard-rows")
+    r = rows.where("not near").select("hub", "e", F.col("r").alias("x"), F.col("n").alias("nx"), F.col("nd").alias("dx"), F.col("at").alias("ax"), F.col("label").alias("lx"))
+    s = rows.select("hub", "e", F.col("r").alias("y"), F.col("n").alias("ny"), F.col("nd").alias("dy"), F.col("at").alias("ay"), F.col("label").alias("ly"), "near")
+    met = r.join(s, ["hub", "e"]).where("x <> y and lx <> ly and (near or x < y) and 5 * least(nx, ny) >= 4 * greatest(nx, ny) and 18 * ax <= 18 * dx - 9 * (dx + dy) + nx + ny and 18 * ay <= 18 * dy - 9 * (dx + dy) + nx + ny")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    to_hub = told.where("near").select(F.col("hub").alias("a"), F.col("r").alias("b"), F.lit(None).cast("long").alias("shared"), F.col("nh").alias("na"), F.col("n").alias("nb"))
+    return to_hub, pairs
+
+
+def _by_elements(documents: DataFrame, rare: DataFrame, seed: int) -> DataFrame:
     """Pairs of sets that couldn't be allocated with all sets that share an element and fit in size."""
 
     def elements(batches):
@@ -374,7 +436,6 @@ def _by_elements(documents: DataFrame, nodes: DataFrame, seed: int) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), node_of(h, seed)[0])), pa.array(np.full(len(h), len(h)))], names=["e", "node", "n"])
 
     everything = documents.select("text").mapInArrow(elements, "e long, node long, n long")
-    rare = nodes.where("not whole").select("node").distinct()
     few = everything.join(rare, "node", "left_semi").distinct().select("e", F.col("node").alias("a"), F.col("n").alias("na"))
     pairs = everything.distinct().join(few, "e").where("node <> a and 5 * least(n, na) >= 4 * greatest(n, na)")
     return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
@@ -397,21 +458,18 @@ def join(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = stage(_buckets(_rows(documents, seed, hot)), "jaccard-buckets")
     release(spark)
     pairs = found.where("key is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if nodes.where("not whole").limit(1).count():
-        pairs = pairs.union(_by_elements(documents, nodes, seed)).distinct()
+    unmet = found.where(F.col("key") == _UNMET).select(F.col("a").alias("node")).distinct()
+    if unmet.limit(1).count():
+        pairs = pairs.union(_by_elements(documents, unmet, seed)).distinct()
     pairs = stage(_fit(pairs, nodes), "jaccard-pairs")
     links = _verified(pairs, documents, nodes, seed)
-    members = found.where("key is not null").groupBy("key", F.col("a").alias("node")).agg(F.max("b").alias("probe"))
-    if found.where("key is not null").limit(1).count():
-        labels = components(links)
-        told = stage(members.join(labels, "node", "left").select("key", "node", "probe", F.coalesce("label", "node").alias("label")), "jaccard-members")
-        count = told.groupBy("key", "label").agg(F.count("*").alias("n"))
-        main = count.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("m.label").alias("main"))
-        main = stage(main, "jaccard-main")
-        open_ = stage(told.join(main, "key"), "jaccard-open")
-        outside = open_.where("label <> main").select("key", F.col("node").alias("x"), F.col("probe").alias("px"), F.col("label").alias("lx"))
-        more = open_.select("key", "node", "probe", "label").join(outside, "key").where("label <> lx and probe + px > 0").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-        more = stage(_fit(more, nodes).join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
+    members = found.where((F.col("key") != _UNMET)).select("key", F.col("a").alias("node"))
+    if members.limit(1).count():
+        first = members.groupBy("key").agg(F.min("node").alias("first"))
+        stars = stage(members.join(first, "key").select(F.col("first").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "jaccard-stars")
+        to_hub, more = _across(stars, links, documents, nodes, seed)
+        links = links.union(to_hub)
+        more = stage(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
         if more.limit(1).count():
             links = links.union(_verified(more, documents, nodes, seed))
     return nodes, links
