@@ -13,7 +13,7 @@ Each step is one Spark aggregation to counts by feature and bin; the driver sees
 result is ``CASE WHEN rule 1 THEN reject WHEN rule 2 ... ELSE keep``.
 
 Fit: on at most ``fit_rows`` (20,000) labelled rows, the first by a hash of doc_id. Thresholds are quantiles of
-these rows. Statistics, base test and verdict cover every row.
+these rows and the midpoints between them. Statistics, base test and verdict cover every row.
 
 Null and empty texts have no words, so they fail the base test; repeated rows are judged each; null labels
 and labels without a text are left out; without labels of both kinds the list is empty and only the base
@@ -142,7 +142,9 @@ def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, min
     rows = with_statistics(rows).select((F.col("__quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) < 2).alias("grow"), *(F.col("stats")[f].cast("double").alias(f) for f in FEATURES))
     rows = stage(rows, "quality-rows")
     cuts = rows.agg(*(F.percentile_approx(f, [i / BINS for i in range(1, BINS)], 10_000).alias(f) for f in FEATURES)).first()
+    # Midpoints too: where classes lie apart, the cut falls between them and not on the edge of one.
     cuts = {f: sorted(set(cuts[f] or ())) for f in FEATURES}
+    cuts = {f: sorted({*c, *((a + b) / 2 for a, b in zip(c, c[1:], strict=False))}) for f, c in cuts.items()}
     binned = rows.select("bad", "grow", F.array(*(sum(((F.col(f) >= t).cast("int") for t in cuts[f]), F.lit(0)) for f in FEATURES)).alias("bins"))
     binned = stage(binned, "quality-bins")
     place = {f: i for i, f in enumerate(FEATURES)}
