@@ -151,12 +151,44 @@ class Session:
             return S.hybrid(docs, vectors, m[2].replace("''", "'"), [float(x) for x in m[3].split(",")], int(m[4]), id_col=key, vec_id=key)
         if fe.classify(sql) == "SEARCH":
             raise fe.SqlError("SEARCH HYBRID ON t LEXICAL '..' VECTOR [..] TOP k")
+        if m := re.search(r"information_schema\s*\.\s*(tables|columns|statistics|key_column_usage|table_constraints)", sql, re.I):
+            view = f"information_schema_{m[1].lower()}"
+            self.information(m[1].lower()).createOrReplaceTempView(view)
+            sql = sql[: m.start()] + view + sql[m.end() :]
+        if m := re.search(r"\b(\w+)\s+MATCH\s+'((?:[^']|'')*)'\s+TOP\s+(\d+)\s*$", sql, re.I):
+            t = self.table(_name(re.search(r"\bFROM\s+(\w+)", sql, re.I)[1]))
+            best = S.top(S.bm25(t, m[2].replace("''", "'"), t.columns[0], m[1].lower()), int(m[3])).withColumnRenamed("id", "__id")
+            return best.join(t, F.col("__id") == t[t.columns[0]]).select(*(t[c] for c in t.columns), best["score"].alias("match_score")).orderBy(F.desc("match_score"), t.columns[0])
         named = self._frames(sql)
         args = {f"p{i + 1}": v for i, v in enumerate(params or [])}
         for name, df in named.items():
             df.createOrReplaceTempView(name)
         return self.spark.sql(fe.rewrite(sql), args=args or None)
 
+    def information(self, what: str) -> DataFrame:
+        """Rows of information_schema's tables."""
+        rows, kinds = [], {"tables": "table_name string, table_type string", "columns": "table_name string, column_name string, ordinal_position int, data_type string, is_nullable string", "statistics": "table_name string, index_name string, column_name string", "key_column_usage": "table_name string, column_name string, constraint_type string", "table_constraints": "table_name string, constraint_type string, columns string"}
+        for t in self.catalog.tables():
+            m = self.catalog.manifest(t)
+            c = m["constraints"]
+            keys = [("PRIMARY KEY", c.get("primary") or [])] + [("UNIQUE", u) for u in c.get("unique", []) if u != c.get("primary")] + [("FOREIGN KEY", f["cols"]) for f in c.get("fks", [])]
+            keys = [(k, cols) for k, cols in keys if cols]
+            if what == "tables":
+                rows.append((t, "BASE TABLE"))
+            elif what == "columns":
+                rows += [(t, f.name, i + 1, c["kinds"].get(f.name, f.dataType.simpleString()), "NO" if f.name in c["not_null"] else "YES") for i, f in enumerate(StructType.fromJson(m["schema"]))]
+            elif what == "statistics":
+                rows += [(t, n, col) for n, x in m["indexes"].items() for col in x["columns"]]
+            elif what == "key_column_usage":
+                rows += [(t, col, k) for k, cols in keys for col in cols]
+            else:
+                rows += [(t, k, ",".join(cols)) for k, cols in keys] + [(t, "CHECK", x) for x in c.get("checks", [])]
+        return self.spark.createDataFrame(rows, kinds[what])
+
+    def to_arrow(self, sql: str, params: list | None = None):
+        """A query's result by columns, as an Arrow table."""
+        return self.sql(sql, params).toArrow()
+
     def _search_columns(self, t: DataFrame) -> tuple[str, str, str]:
         kinds = {f.name: f.dataType for f in t.schema}
         text = next(n for n, k in kinds.items() if isinstance(k, StringType))

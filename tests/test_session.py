@@ -183,3 +183,52 @@ def test_frontend():
     assert statements("SELECT ';'; SELECT 2;") == ["SELECT ';'", "SELECT 2"]
     assert classify("with a as (select 1) select * from a") == "SELECT" and classify("create unique index i on t (a)") == "CREATE INDEX"
     assert [workload(s) for s in ("SELECT a <-> '[1]' FROM t", "SELECT 1 FROM t WHERE b @@ 'x'", "SELECT count(*) FROM t", "SELECT a FROM t WHERE id = 1")] == ["vector", "search", "analytics", "oltp"]
+
+
+def test_information_schema_match_and_arrow(q):
+    assert q.sql("SELECT column_name FROM information_schema.columns WHERE table_name = 'q' ORDER BY ordinal_position").first()[0] == "id"
+    assert q.sql("SELECT * FROM information_schema.tables").count() == 1
+    assert [r[1] for r in q.sql("SELECT * FROM information_schema.table_constraints").collect()] == ["PRIMARY KEY"]
+    assert [r["id"] for r in q.sql("SELECT * FROM q WHERE status MATCH 'active' TOP 2").collect()] == [1, 2]
+    assert q.to_arrow("SELECT id, score FROM q ORDER BY id").column("score").to_pylist() == [10, 20, 30, 40, 50]
+
+
+def test_backup_and_restore(spark, q, tmp_path):
+    from lumenq.sources import backup as B
+
+    full, diff = str(tmp_path / "full"), str(tmp_path / "diff")
+    B.backup(q.catalog, full)
+    q.execute("DELETE FROM q WHERE id = 1")
+    q.execute("UPDATE q SET score = 99 WHERE id = 2")
+    assert B.backup(q.catalog, diff, full)["tables"]["q"]["parts"]["new"][0] == 1
+    assert B.verify(q.catalog, full) == [] and B.predict(q.catalog)["q"] > 0
+    other = Session(spark, str(tmp_path / "other"))
+    assert B.restore(other.catalog, [full, diff]) == ["q"]
+    assert sorted(map(tuple, other.sql("SELECT id, score FROM q").collect())) == [(2, 99), (3, 30), (4, 40), (5, 50)]
+    spark.range(1).write.mode("overwrite").parquet(f"{full}/q/full")
+    assert B.verify(q.catalog, full)
+
+
+def test_dump_import(db):
+    from lumenq.sources.copying import dump_sql
+    from lumenq.sources.pgdump import import_dump
+
+    script = r"""--
+SET statement_timeout = 0;
+CREATE TABLE public.people (
+    id integer NOT NULL,
+    name character varying(20),
+    born timestamp without time zone
+);
+ALTER TABLE public.people OWNER TO me;
+COPY public.people (id, name, born) FROM stdin;
+1<tab>Ann\tB<tab>2020-01-02 03:04:05
+2<tab>\N<tab>\N
+\.
+
+INSERT INTO public.people VALUES (3, 'O''Neil; x', NULL);
+""".replace("<tab>", chr(9))
+    r = import_dump(db, script)
+    assert r.tables == ["people"] and r.rows == 3
+    assert [tuple(x) for x in db.sql("SELECT id, name FROM people ORDER BY id").collect()][1:] == [(2, None), (3, "O'Neil; x")]
+    assert "INSERT INTO people (id, name, born) VALUES (3, 'O''Neil; x', NULL);" in [x[0] for x in dump_sql(db.table("people"), "people").collect()]
