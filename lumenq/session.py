@@ -157,8 +157,8 @@ class Session:
             sql = sql[: m.start()] + view + sql[m.end() :]
         if m := re.search(r"\b(\w+)\s+MATCH\s+'((?:[^']|'')*)'\s+TOP\s+(\d+)\s*$", sql, re.I):
             t = self.table(_name(re.search(r"\bFROM\s+(\w+)", sql, re.I)[1]))
-            best = S.top(S.bm25(t, m[2].replace("''", "'"), t.columns[0], m[1].lower()), int(m[3])).withColumnRenamed("id", "__id")
-            return best.join(t, F.col("__id") == t[t.columns[0]]).select(*(t[c] for c in t.columns), best["score"].alias("match_score")).orderBy(F.desc("match_score"), t.columns[0])
+            best = S.top(S.bm25(t, m[2].replace("''", "'"), t.columns[0], m[1].lower()), int(m[3])).toDF("__id", "match_score")
+            return t.join(best, F.expr(f"`{t.columns[0]}` = __id")).select(*t.columns, "match_score").orderBy(F.desc("match_score"), t.columns[0])
         named = self._frames(sql)
         args = {f"p{i + 1}": v for i, v in enumerate(params or [])}
         for name, df in named.items():
