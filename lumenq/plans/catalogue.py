@@ -7,7 +7,6 @@ tables it names. Other entries build a DataFrame with the library and state the
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -424,9 +423,9 @@ def _shards(spark, d):
 # copies in and out
 @_query("copy_csv", "SELECT * FROM nation")
 def _csv(spark, d):
-    from ..sources.copying import copy_from_csv, copy_to
+    from ..sources.copying import copy_from_csv, copy_to, scratch
 
-    at = tempfile.mkdtemp(prefix="lumenq-csv-")
+    at = scratch(spark, "csv")
     src = table(spark, d, "nation")
     copy_to(src, at, "csv", root=at)
     return copy_from_csv(spark, f"{at}/*.csv", src.schema)
@@ -434,9 +433,9 @@ def _csv(spark, d):
 
 @_query("copy_jsonl", "SELECT * FROM region")
 def _jsonl(spark, d):
-    from ..sources.copying import copy_from_jsonl, copy_to
+    from ..sources.copying import copy_from_jsonl, copy_to, scratch
 
-    at = tempfile.mkdtemp(prefix="lumenq-jsonl-")
+    at = scratch(spark, "jsonl")
     src = table(spark, d, "region")
     copy_to(src, at, "json", root=at)
     return copy_from_jsonl(spark, f"{at}/*.json", src.schema)
@@ -444,9 +443,9 @@ def _jsonl(spark, d):
 
 @_query("copy_parquet", "SELECT * FROM supplier")
 def _parquet(spark, d):
-    from ..sources.copying import copy_from_parquet, copy_to
+    from ..sources.copying import copy_from_parquet, copy_to, scratch
 
-    at = tempfile.mkdtemp(prefix="lumenq-parquet-")
+    at = scratch(spark, "parquet")
     copy_to(table(spark, d, "supplier"), at, "parquet", root=at)
     return copy_from_parquet(spark, at)
 

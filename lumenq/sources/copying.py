@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Iterable
 from pathlib import PurePosixPath
 
@@ -15,12 +17,19 @@ class CopyError(ValueError):
     pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share (under spark.checkpoint.dir; a local one where that is unset, as in tests)."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    return f"{top.rstrip('/')}/lumenq-{name}-{uuid.uuid4().hex}"
+
+
 def confined(path: str, root: str) -> str:
     """path, if it lies under root."""
-    here, top = os.path.normpath(os.path.join(root, path)), os.path.normpath(root)
+    scheme, _, top = root.rpartition("://")
+    here, top = os.path.normpath(os.path.join(top, path.removeprefix(f"{scheme}://"))), os.path.normpath(top)
     if here != top and PurePosixPath(top) not in PurePosixPath(here).parents:
         raise CopyError(f"{path} is outside {root}")
-    return here
+    return f"{scheme}://{here}" if scheme else here
 
 
 def copy_from_csv(spark: SparkSession, path: str, schema: StructType, header: bool = True, delimiter: str = ",") -> DataFrame:
