@@ -83,8 +83,11 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> tupl
         np.fill_diagonal(corr, 0)
         weight = 1 / (1 + np.where(corr > 0.3, corr, 0).sum(axis=1))
         rate = np.clip(rate, 1e-6, 1 - 1e-6)
-        on, off = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
-        logit = math.log(prior / (1 - prior)) + votes @ (weight * (on - off)) + (weight * off).sum() + np.where(labels > 0, 1, -1) * math.log(trust / (1 - trust))
+        # A voter that abstains says nothing (its language may not be the text's); that none votes does.
+        on = np.log(rate[1] / rate[0])
+        silent = votes.sum(axis=1) == 0
+        none = math.log(((post[silent].sum() + 0.5) / (mass[1] + 1)) / (((1 - post)[silent].sum() + 0.5) / (mass[0] + 1)))
+        logit = math.log(prior / (1 - prior)) + votes @ (weight * on) + none * silent + np.where(labels > 0, 1, -1) * math.log(trust / (1 - trust))
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if np.abs(new - post).max() < 1e-6:
             post = new
@@ -93,23 +96,27 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> tupl
     return post, rate, weight, trust
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 4000) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 20_000) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels with weights that aren't negative (accelerated projected gradient).
 
     A voter has nothing to say for "clean", so a negative weight could only correct another voter's.
     """
+    start = math.log(max(y.mean(), 1e-4) / max(1 - y.mean(), 1e-4))
+    # Rows with the same votes are one row with their number and mean label: mostly those without a vote.
+    x, at, c = np.unique(x, axis=0, return_inverse=True, return_counts=True)
+    y = np.bincount(at.ravel(), weights=y) / c
     n, m = x.shape
     a = np.hstack([x, np.ones((n, 1))])
     w = np.zeros(m + 1)
-    w[-1] = math.log(max(y.mean(), 1e-4) / max(1 - y.mean(), 1e-4))
+    w[-1] = start
     penalty = np.append(np.full(m, ridge), 1e-6)
-    scale = 1 / np.sqrt(np.maximum(a.sum(axis=0), 1))  # rare voters are scaled up, for even steps
+    scale = 1 / np.sqrt(np.maximum(c @ a, 1))  # rare voters are scaled up, for even steps
     b = a * scale
-    rate = 1 / (0.25 * np.linalg.eigvalsh(b.T @ b)[-1] + ridge)
+    rate = 1 / (0.25 * np.linalg.eigvalsh((b * c[:, None]).T @ b)[-1] + ridge)
     v = u = w / scale
     for k in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(b @ u, -30, 30)))
-        new = u - rate * (b.T @ (p - y) + penalty * u * scale**2)
+        new = u - rate * (b.T @ (c * (p - y)) + penalty * u * scale**2)
         new[:-1] = np.maximum(new[:-1], 0)
         u = new + k / (k + 3) * (new - v)
         v = new
@@ -135,7 +142,7 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_v
         return {}, -math.inf if not t else 5.0
     counted = rows.select("toxic", F.explode("held").alias("voter")).groupBy("voter").agg(F.sum("toxic").alias("on"), F.count("*").alias("of")).where(F.col("on") >= min_support)
     odds = F.log(((F.col("on") + 0.5) / t) / ((F.col("of") - F.col("on") + 0.5) / (n - t)))
-    voters = [r["voter"] for r in counted.withColumn("gain", F.col("on") * odds).where(odds > 1.5).orderBy(F.desc("gain"), "voter").limit(max_voters).collect()]
+    voters = [r["voter"] for r in counted.withColumn("gain", F.col("on") * odds).where(odds > 1.5).orderBy(F.desc("gain"), F.desc(F.length("voter")), "voter").limit(max_voters).collect()]
     if not voters:
         return {}, math.log(t / (n - t))
     at = {v: i for i, v in enumerate(voters)}
