@@ -144,3 +144,24 @@ def test_allocation_reaches_its_sum():
             assert (size[got[1]] > 1).all()
 
 
+
+
+def test_components_of_graphs(spark):
+    from lumenq.llm.graph import components
+
+    rng = random.Random(8)
+    n = 400
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + k) for k in range(1, 50)] + [(rng.randrange(200, n), rng.randrange(200, n)) for _ in range(90)] + [(5, 5), (300, 150)]
+    parent = list(range(n))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {v: find(v) for e in edges if e[0] != e[1] for v in e}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
