@@ -7,7 +7,7 @@ laid over each other on its diagonal and compared word by word over the whole it
 an equal word, -``penalty`` for a substituted one) must score ``min_score`` and hold ``min_words`` equal words.
 
 Words are lower-cased runs of ``[^\\x20\\x09-\\x0D]``. Items with fewer words than the shortest mask have no hash
-and match nothing: so short a phrase is no evidence. Null texts match nothing; repeated rows are one document
+and match nothing: so short a phrase is no evidence. Null texts and rows without a doc_id match nothing; repeated rows are one document
 with one result; repeated items count each; an empty benchmark or table gives no rows. Clashing further
 columns are never read. All steps are DataFrame functions.
 """

@@ -52,14 +52,15 @@ _SELF_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
 
-def _noisy(tag: str, attrs: dict[str, str]) -> bool:
+def _noisy(tag: str, attrs: dict[str, str], main: bool = False) -> bool:
+    """Does an element state another role than the article? (In the article, what calls itself a header is its heading.)"""
     if tag in _NOISE_TAGS or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
     if attrs.get("role", "").lower() in _NOISE_ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
     for value in (attrs.get("class", ""), attrs.get("id", "")):
         for name in value.lower().split():
-            if name in _NOISE_WORDS or any(part in _NOISE_WORDS for part in re.split(r"[-_]+", name)):
+            if any(part in _NOISE_WORDS and not (main and part == "header") for part in (name, *re.split(r"[-_]+", name))):
                 return True
     return False
 
@@ -149,7 +150,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, bool, int]]:
         elif tag == "header" and main:  # the heading of the article itself
             own = False
         else:
-            own = not marked and _noisy(tag, attrs)
+            own = not marked and _noisy(tag, attrs, main)
         if not m[3].endswith("/"):
             stack.append((label, f"{path}/{label}", noise or own, main or marked))
     got = flush()

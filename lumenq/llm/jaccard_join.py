@@ -494,9 +494,13 @@ def group(documents: DataFrame) -> DataFrame:
 
 
 def keep_first(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest doc_id stays."""
+    """Pipeline stage: of each group the document with the smallest doc_id stays, once.
+
+    Rows without a doc_id can't stand for a group and stay as they are.
+    """
     kept = stage(group(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    return docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    first = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    return first.union(docs.where("doc_id IS NULL"))
 
 
 def op8_universe_partition(spark, sf_dir: str) -> DataFrame:

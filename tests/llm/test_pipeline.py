@@ -99,6 +99,12 @@ def test_stages_take_empty_input(spark, tmp_path):
         assert apply(spark, docs, at).count() == 0
 
 
+def test_rows_without_doc_id_stay(spark, tmp_path):
+    rows = [(1, "a b c d e f g", "en", "s", 13), (2, "a b c d e f g", "en", "s", 13), (None, "a b c d e f g", "en", "s", 13), (None, None, None, None, None)]
+    got = dict(pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))
+    assert rows_of(got) == sorted([rows[0], rows[2], rows[3]], key=str)
+
+
 def test_learned_list_is_readable(spark, tmp_path):
     at = str(tmp_path)
     fixture(spark, at)

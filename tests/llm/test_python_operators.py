@@ -110,6 +110,7 @@ def test_main_text():
         page("<article><h1>T &amp; t</h1><p>a  b\n c<p><b>d<br>e</b><ul><li>one<li>two</ul></article>"): "T & t\na b c\nd e\none\ntwo",
         page("<div class='ad'>buy</div><main><p>x</p><aside>side</aside><div class='cookie-notice'>ok?</div><section id='comments'><p>me too</p></section><form>f<input></form></main>"): "x",
         page("<div><p>plain page</p><p>second &lt;p&gt;</p></div><div class='sidebar'>s</div>"): "plain page\nsecond <p>",
+        page("<div class='header'>no</div><article><div class='article-header'><h1>T</h1></div><p>x</p><div class='share-bar'>s</div></article>"): "T\nx",
         "no markup &eacute;": "no markup é", "": "", "<p>open <i>and <b>never closed": "open and never closed", "<article><p>cut <": "cut <",
     }
     for html, want in cases.items():
