@@ -10,8 +10,11 @@ class and id) that leads to it. Each node has two importances, both between 0 an
 A branch whose importance (the product of the two) is below ``threshold``, on a host with at least
 ``min_pages`` pages that have it, is removed from each page. Branches whose element or class states
 another role than the article (menus, forms, comments and so on) have presentation importance 0 on any
-host. Where a page marks its article (``article`` or ``main``) only that is kept, and plain paragraphs in
-it are never judged by repetition: an article that was published twice is no template.
+host. Where a page marks its article (``article`` or ``main``) only that is kept, and its branches are judged
+like all others, with two rules of their own: a whole article that stands on several pages counts once (an
+article that was published twice is no template), and a block's own content importance, 1 - log(articles
+with that text) / log(articles), must reach the threshold too, so that a notice which is repeated between
+the paragraphs goes although its branch, shared with them, differs from page to page.
 
 Rows: null html counts as empty and gives an empty text; repeated rows stay; a null url makes a host of
 its own; further columns are dropped by :func:`extract` (join on page_id to get them back).
@@ -65,8 +68,8 @@ def _noisy(tag: str, attrs: dict[str, str], main: bool = False) -> bool:
     return False
 
 
-def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, bool, int]]:
-    """(style node, text, noise by role, in the marked article, in a plain element of it, link characters), in page order."""
+def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, int]]:
+    """(style node, text, noise by role, in the marked article, link characters), in page order."""
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, noise, in main
     text: list[str] = []
     linked, in_link, at = 0, 0, 0
@@ -79,8 +82,8 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, bool, int]]:
             text.clear()
             n, linked = linked, 0
             if whole:
-                tag, path, noise, main = stack[-1]
-                return (path, whole, noise, main, "." not in tag, min(n, len(whole)))
+                _, path, noise, main = stack[-1]
+                return (path, whole, noise, main, min(n, len(whole)))
         return None
 
     page = page.replace("\x00", "")
@@ -172,69 +175,99 @@ def _host(url):
     return F.coalesce(F.regexp_extract(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:www\.)?([^/?#:]+)", 1), F.lit(""))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, n_pages, presentation, content: the merged tree of each host.
+def _counted(pages: DataFrame) -> DataFrame:
+    """host, path, content, c, chars, linked: each content of a node; a null path is that of a single
+    block in an article, an empty one that of a whole article.
 
     Contents are counted before they meet, and counts are summed, so that a host with a third of all
-    pages is no larger a task than another.
+    pages is no larger a task than another. Contents of a marked article come with the article's hash:
+    the same article on further pages adds nothing.
     """
 
     def nodes(batches):
         for batch in batches:
             seen: dict[tuple, list] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own: dict[str, list] = {}
-                for path, text, _, main, plain, n in blocks(page or ""):
-                    if not (main and plain):
-                        x = own.setdefault(path, [0, 0, 0])
-                        x[0] = hash_text(text, x[0])
-                        x[1] += len(text)
-                        x[2] += n
-                for path, (h, n, linked) in own.items():
-                    x = seen.setdefault((host, path, h), [0, 0, 0])
-                    x[0] += 1
-                    x[1] += n
-                    x[2] += linked
+                own: dict[tuple, list] = {}
+                whole = None
+                for path, text, noise, main, n in blocks(page or ""):
+                    x = own.setdefault((path, main), [0, 0, 0])
+                    x[0] = hash_text(text, x[0])
+                    x[1] += len(text)
+                    x[2] += n
+                    if main and not noise:
+                        h = hash_text(text, 0)
+                        own[None, h] = [h, len(text), n]
+                        whole = hash_text(text, whole or 0)
+                if whole is not None:
+                    own["", True] = [whole, 0, 0]
+                for (path, main), (h, n, linked) in own.items():
+                    once = whole is not None and (path is None or main)
+                    x = seen.setdefault((host, path, h, whole if once else None), [0, 0, 0])
+                    if not (once and x[0]):
+                        x[0] += 1
+                        x[1] += n
+                        x[2] += linked
             if seen:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[i] for k in seen], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))] + [pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(3)],
-                    names=["host", "path", "content", "c", "chars", "linked"],
+                    [pa.array([k[i] for k in seen], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))] + [pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(3)],
+                    names=["host", "path", "content", "article", "c", "chars", "linked"],
                 )
 
-    counted = pages.select(_host(F.col("url")).alias("host"), F.col("html")).mapInArrow(nodes, "host string, path string, content long, c long, chars long, linked long").groupBy("host", "path", "content").agg(F.sum("c").alias("c"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    found = pages.select(_host(F.col("url")).alias("host"), F.col("html")).mapInArrow(nodes, "host string, path string, content long, article long, c long, chars long, linked long")
+    once = lambda c: F.when(F.col("article").isNull(), F.sum(c)).otherwise(F.max(c)).alias(c)
+    return found.groupBy("host", "path", "content", "article").agg(once("c"), once("chars"), once("linked")).groupBy("host", "path", "content").agg(*(F.sum(c).alias(c) for c in ("c", "chars", "linked")))
+
+
+def _nodes(counted: DataFrame) -> DataFrame:
     n = F.sum("c")
     entropy = F.log(n) - F.sum(F.col("c") * F.log("c")) / n
-    return counted.groupBy("host", "path").agg(
+    return counted.where("path <> ''").groupBy("host", "path").agg(
         n.alias("n_pages"), (1 - F.sum("linked") / F.greatest(F.sum("chars"), F.lit(1))).alias("presentation"), F.when(n > 1, F.greatest(entropy / F.log(n), F.lit(0.0))).otherwise(F.lit(1.0)).alias("content")
     )
 
 
+def style_tree(pages: DataFrame) -> DataFrame:
+    """host, path, n_pages, presentation, content: the merged tree of each host."""
+    return _nodes(_counted(pages))
+
+
+def _repeated(counted: DataFrame, threshold: float, min_pages: int) -> DataFrame:
+    """host, repeated: the hashes of blocks that are alike in so many different articles of a host that they tell nothing."""
+    articles = counted.where("path = ''").groupBy("host").agg(F.sum("c").alias("n"))
+    often = counted.where(F.col("path").isNull() & (F.col("c") > 1)).join(articles, "host")
+    low = (1 - F.col("linked") / F.greatest(F.col("chars"), F.lit(1))) * (1 - F.log("c") / F.log("n")) < threshold
+    return often.where((F.col("n") >= min_pages) & (F.col("c") >= min_pages) & low).groupBy("host").agg(F.array_sort(F.collect_set("content")).alias("repeated"))
+
+
 def hash_text(text: str, seed: int) -> int:
     import xxhash
 
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), seed & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
-def main_text(page: str | None, unimportant: frozenset[str] = frozenset()) -> str:
-    """The page's blocks without low branches, joined by one newline."""
+def main_text(page: str | None, unimportant: frozenset[str] = frozenset(), repeated: frozenset[int] = frozenset()) -> str:
+    """The page's blocks without low branches (and, in a marked article, repeated blocks), joined by one newline."""
     found = list(blocks(page or ""))
     marked = any(x[3] and not x[2] for x in found)
     low = lambda path: any(path == p or path.startswith(f"{p}/") for p in unimportant)
-    return "\n".join(text for path, text, noise, main, plain, _ in found if not noise and (main or not marked) and ((main and plain) or not unimportant or not low(path)))
+    return "\n".join(text for path, text, noise, main, _ in found if not noise and (main or not marked) and not (unimportant and low(path)) and not (repeated and main and hash_text(text, 0) in repeated))
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
-    low = stage(style_tree(pages).where((F.col("n_pages") >= min_pages) & (F.col("presentation") * F.col("content") < threshold)).groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("low")), "style-tree")
+    counted = stage(_counted(pages), "style-counts")
+    low = _nodes(counted).where((F.col("n_pages") >= min_pages) & (F.col("presentation") * F.col("content") < threshold)).groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("low"))
+    low = stage(low.join(_repeated(counted, threshold, min_pages), "host", "full"), "style-tree")
 
     def run(batches):
         for batch in batches:
-            ids, urls, pages_, lows = batch.columns
-            texts = [main_text(p, frozenset(x or ())) for p, x in zip(pages_.to_pylist(), lows.to_pylist(), strict=True)]
+            ids, urls, pages_, lows, often = batch.columns
+            texts = [main_text(p, frozenset(x or ()), frozenset(y or ())) for p, x, y in zip(pages_.to_pylist(), lows.to_pylist(), often.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html", _host(F.col("url")).alias("host")).join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html", _host(F.col("url")).alias("host")).join(low, "host", "left").select("page_id", "url", "html", "low", "repeated").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op9_site_style_tree(spark, sf_dir: str) -> DataFrame:

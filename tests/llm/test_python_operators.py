@@ -126,3 +126,12 @@ def test_style_tree_removes_template_branches(spark):
     got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
     assert got[3] == "text number 3" and got[100] == "Same words everywhere" and got[101] == "" and got[205] == "published twice"
     assert H.extract(df).count() == len(rows) and H.extract(df.limit(0)).count() == 0
+
+
+def test_style_tree_judges_marked_articles(spark):
+    said = "<div class='promo2x'><p>same words on every page</p></div>"
+    rows = [(i, f"http://h.example/{i}", page(f"<article><h1>Title {i}</h1><p>text number {i}</p>{said}<p>Write to us.</p></article>")) for i in range(20)]
+    rows += [(100 + i, f"http://copies.example/{i}", page(f"<article><p>published twice</p>{said}</article>")) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+    assert got == {i: f"Title {i}\ntext number {i}" for i in range(20)} | {100 + i: "published twice\nsame words on every page" for i in range(12)}
