@@ -8,9 +8,14 @@ class and id) that leads to it. Each node has two importances, both between 0 an
   a branch that says the same on every page has 0 and one that differs on every page has 1.
 
 A branch whose importance (the product of the two) is below ``threshold``, on a host with at least
-``min_pages`` pages that have it, is removed from each page. Branches whose element or class states
+``min_pages`` pages that have it, is removed from each page. Branches whose element, ARIA role or class states
 another role than the article (menus, forms, comments and so on) have presentation importance 0 on any
-host. Where a page marks its article (``article`` or ``main``) only that is kept, and its branches are judged
+host. Where only an ambiguous word or a part of a name says so (``legal-text``, ``has-sidebar``), that is the
+assumption until the host knows better: from ``overrule`` on, the importance of the branch without the
+word decides, on at least ``min_pages`` pages. If all marked articles of a page stand in branches of another
+role, what encloses them (a form around the page, ``has-sidebar``) is no reason to drop them, unless it is
+hidden; an article among comments or teasers is dropped with them where the page has another.
+Where a page marks its article (``article`` or ``main``) only that is kept, and its branches are judged
 like all others, with two rules of their own: a whole article that stands on several pages counts once (an
 article that was published twice is no template), and a block's own content importance, 1 - log(articles
 with that text) / log(articles), must reach the threshold too, so that a notice which is repeated between
@@ -32,7 +37,8 @@ from pyspark.sql import functions as F
 
 from ._common import stage, table
 
-THRESHOLD, MIN_PAGES = 0.2, 8
+THRESHOLD, MIN_PAGES, OVERRULE = 0.2, 8, 0.8
+HIDDEN, ROLE, WORD = 4, 2, 1
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -47,6 +53,10 @@ _NOISE_WORDS = set(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form search searchbox breadcrumb breadcrumbs pager pagination share sharing social "
     "related recommended recommendations comment comments commentlist disqus reply replies respond widget widgets toolbar copyright legal skip".split()
 )
+#: Ambiguous words; those of advertising, comments and the like are not, as their texts differ from page to page like an article's.
+_AMBIGUOUS = set("alert copyright legal notice notices related".split())
+#: Ambiguous as parts of a name (``has-sidebar``) only.
+_LAYOUT = set("foot footer form header overlay search sidebar sidebars skip social widget widgets".split())
 _NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _MAIN_WORDS = {"article", "post-content", "entry-content", "article-body", "article-content", "story-body"}
 #: An opening tag of the first kind ends an open element of the second.
@@ -55,22 +65,26 @@ _SELF_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
 
-def _noisy(tag: str, attrs: dict[str, str], main: bool = False) -> bool:
-    """Does an element state another role than the article? (In the article, what calls itself a header is its heading.)"""
-    if tag in _NOISE_TAGS or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
-    if attrs.get("role", "").lower() in _NOISE_ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
+def _noisy(tag: str, attrs: dict[str, str], main: bool = False) -> int:
+    """How an element states another role than the article: 0, WORD (ambiguously), ROLE or HIDDEN. (In the article, what calls itself a header is its heading.)"""
+    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
+        return HIDDEN
+    if tag in _NOISE_TAGS or attrs.get("role", "").lower() in _NOISE_ROLES:
+        return ROLE
+    found = 0
     for value in (attrs.get("class", ""), attrs.get("id", "")):
         for name in value.lower().split():
-            if any(part in _NOISE_WORDS and not (main and part == "header") for part in (name, *re.split(r"[-_]+", name))):
-                return True
-    return False
+            for part in (name, *re.split(r"[-_]+", name)):
+                if part in _NOISE_WORDS and not (main and part == "header"):
+                    if not (part in _AMBIGUOUS or part in _LAYOUT and part != name):
+                        return ROLE
+                    found = WORD
+    return found
 
 
-def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, int]]:
-    """(style node, text, noise by role, in the marked article, link characters), in page order."""
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, noise, in main
+def blocks(page: str) -> Iterator[tuple[str, str, int, int, bool, int]]:
+    """(style node, text, noise by role outside and inside the marked article, in the marked article, link characters), in page order."""
+    stack: list[tuple[str, str, int, int, bool]] = [("", "", 0, 0, False)]  # tag, path, noise outside and inside main, in main
     text: list[str] = []
     linked, in_link, at = 0, 0, 0
     raw_end = None
@@ -82,8 +96,8 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, int]]:
             text.clear()
             n, linked = linked, 0
             if whole:
-                _, path, noise, main = stack[-1]
-                return (path, whole, noise, main, min(n, len(whole)))
+                _, path, outer, inner, main = stack[-1]
+                return (path, whole, outer, inner, main, min(n, len(whole)))
         return None
 
     page = page.replace("\x00", "")
@@ -116,7 +130,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, int]]:
                 in_link = 0 if m[1] else 1
             if not m[1] and m[3]:
                 attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])}
-                if attrs and _noisy(tag, attrs) and (found := _skip(page, tag, at)):
+                if attrs and _noisy(tag, attrs) > WORD and (found := _skip(page, tag, at)):
                     at = found
             continue
         got = flush()
@@ -146,21 +160,37 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, int]]:
         attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])} if m[3] else {}
         names = ".".join(sorted(attrs.get("class", "").split())[:3] + ([f"#{attrs['id']}"] if attrs.get("id") else []))
         label = f"{tag}.{names}" if names else tag
-        _, path, noise, main = stack[-1]
+        _, path, outer, inner, main = stack[-1]
         marked = tag in ("article", "main") or any(c in _MAIN_WORDS for c in attrs.get("class", "").lower().split()) or attrs.get("role", "").lower() in ("main", "article")
         if tag in ("html", "body"):
-            own = False
+            own = 0
         elif tag == "header" and main:  # the heading of the article itself
-            own = False
+            own = 0
         else:
-            own = not marked and _noisy(tag, attrs, main)
+            own = 0 if marked else _noisy(tag, attrs, main)
         if not m[3].endswith("/"):
-            stack.append((label, f"{path}/{label}", noise or own, main or marked))
+            stack.append((label, f"{path}/{label}", outer if main else max(outer, own), max(inner, own) if main else 0, main or marked))
     got = flush()
     if got:
         yield got
 
 
+def judged(page: str | None) -> list[tuple[str, str, int, bool, int]]:
+    """(style node, text, noise, in the marked article, link characters): blocks once the page's marked articles are known."""
+    found = list(blocks(page or ""))
+    articles = [(outer, inner) for _, _, outer, inner, main, _ in found if main and outer < HIDDEN and inner <= WORD]
+    cleared = min((outer for outer, _ in articles), default=0)
+    # An article that is all in branches with an ambiguous word isn't dropped for it.
+    word = 0 if any(not inner for outer, inner in articles if outer == cleared) else WORD
+    out = []
+    for path, text, outer, inner, main, n in found:
+        if main and articles and outer <= cleared:
+            out.append((path, text, 0 if inner <= word else inner, True, n))
+        else:
+            out.append((path, text, max(outer, inner, ROLE if articles else 0), False, n))
+    return out
+
+
 def _skip(page: str, tag: str, at: int) -> int | None:
     """The end of an inline element that opened before at, nested ones included."""
     depth = 1
@@ -190,12 +220,12 @@ def _counted(pages: DataFrame) -> DataFrame:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own: dict[tuple, list] = {}
                 whole = None
-                for path, text, noise, main, n in blocks(page or ""):
+                for path, text, noise, main, n in judged(page):
                     x = own.setdefault((path, main), [0, 0, 0])
                     x[0] = hash_text(text, x[0])
                     x[1] += len(text)
                     x[2] += n
-                    if main and not noise:
+                    if main and noise <= WORD:
                         h = hash_text(text, 0)
                         own[None, h] = [h, len(text), n]
                         whole = hash_text(text, whole or 0)
@@ -246,28 +276,32 @@ def hash_text(text: str, seed: int) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), seed & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
-def main_text(page: str | None, unimportant: frozenset[str] = frozenset(), repeated: frozenset[int] = frozenset()) -> str:
+def main_text(page: str | None, unimportant: frozenset[str] = frozenset(), repeated: frozenset[int] = frozenset(), important: frozenset[str] = frozenset()) -> str:
     """The page's blocks without low branches (and, in a marked article, repeated blocks), joined by one newline."""
-    found = list(blocks(page or ""))
-    marked = any(x[3] and not x[2] for x in found)
     low = lambda path: any(path == p or path.startswith(f"{p}/") for p in unimportant)
-    return "\n".join(text for path, text, noise, main, _ in found if not noise and (main or not marked) and not (unimportant and low(path)) and not (repeated and main and hash_text(text, 0) in repeated))
+    return "\n".join(
+        text for path, text, noise, main, _ in judged(page) if (not noise or noise == WORD and path in important) and not (unimportant and low(path)) and not (repeated and main and hash_text(text, 0) in repeated)
+    )
 
 
-def extract(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES, overrule: float = OVERRULE) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
     counted = stage(_counted(pages), "style-counts")
-    low = _nodes(counted).where((F.col("n_pages") >= min_pages) & (F.col("presentation") * F.col("content") < threshold)).groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("low"))
+    importance = F.col("presentation") * F.col("content")
+    paths = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("path"))))
+    # Classes and ids follow a point in a path; only such nodes can need to overrule a word.
+    high = (importance >= overrule) & F.col("path").contains(".")
+    low = _nodes(counted).where((F.col("n_pages") >= min_pages) & ((importance < threshold) | high)).groupBy("host").agg(paths(importance < threshold).alias("low"), paths(high).alias("high"))
     low = stage(low.join(_repeated(counted, threshold, min_pages), "host", "full"), "style-tree")
 
     def run(batches):
         for batch in batches:
-            ids, urls, pages_, lows, often = batch.columns
-            texts = [main_text(p, frozenset(x or ()), frozenset(y or ())) for p, x, y in zip(pages_.to_pylist(), lows.to_pylist(), often.to_pylist(), strict=True)]
+            ids, urls, pages_, *known = batch.columns
+            texts = [main_text(p, *(frozenset(x or ()) for x in xs)) for p, *xs in zip(pages_.to_pylist(), *(k.to_pylist() for k in known), strict=True)]
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html", _host(F.col("url")).alias("host")).join(low, "host", "left").select("page_id", "url", "html", "low", "repeated").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html", _host(F.col("url")).alias("host")).join(low, "host", "left").select("page_id", "url", "html", "low", "repeated", "high").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op9_site_style_tree(spark, sf_dir: str) -> DataFrame:

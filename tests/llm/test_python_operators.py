@@ -135,3 +135,19 @@ def test_style_tree_judges_marked_articles(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
     assert got == {i: f"Title {i}\ntext number {i}" for i in range(20)} | {100 + i: "published twice\nsame words on every page" for i in range(12)}
+
+
+def test_wrappers_do_not_drop_a_marked_article():
+    for body in ("<div class='has-sidebar'>{}<div class='sidebar'>s</div></div>", "<div class='content-sidebar-wrap'>{}</div>", "<form action='/'>{}<p>state</p></form>"):
+        for mark in ("article", "main"):
+            assert H.main_text(page(body.format(f"<{mark}><p>x</p></{mark}>"))) == "x", body
+    assert H.main_text(page("<main><p>x</p></main><aside><article><p>teaser</p></article></aside>")) == "x"
+    assert H.main_text(page("<div hidden><article><p>x</p></article></div><p>y</p>")) == "y"
+
+
+def test_content_overrules_ambiguous_words(spark):
+    body = "<article><p>text {0}</p><div class='legal-text'><p>clause {0}</p></div><div id='related-work'><p>as {0} shows</p></div><div class='notice'>note {0}</div><div class='cookie-notice'>ok {0}</div><div class='notice'>of the site</div><div class='ad'>buy {0}</div></article>"
+    body = body.replace("<div class='notice'>of the site</div>", "<div class='notice small'>of the site</div>")
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page(body.format(i))) for i in range(20)] + [(50, "http://one.example/", page(body.format(50)))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+    assert got == {i: f"text {i}\nclause {i}\nas {i} shows\nnote {i}" for i in range(20)} | {50: "text 50"}
