@@ -4,11 +4,14 @@ Text and template are compared as lower-case words without outer punctuation. In
 words that occur once there and once in the template are anchors; the longest increasing subsequence of
 the anchors (patience sorting) is kept, and the gaps between them are aligned in the same way. A gap
 without anchors falls back to the longest common subsequence. Coverage is the share of the template's
-words that are matched; a notice counts from ``coverage`` (0.8) on.
+words that are matched; a notice counts from ``coverage`` (0.8) on. The words that tell a licence from its
+relatives (``REQUIRED``) must be among the matched ones; in a short template that leaves only such words as
+"released" or "the" free to be missing. Of notices that overlap the one with the most matched words
+counts, so a licence whose words contain those of another is not taken for it.
 
-Regions: a notice that counts lacks at most a fifth of the template's words, so it holds one of any
-``floor(n / 5) + 1`` of them; the template's rarest such words are its keys. Regions are the
-neighbourhoods of keys, one template length to either side, so that every notice lies in one, long texts
+Regions: a long template's longest required word is its key. Without one, a notice that counts lacks at most
+so many of the template's words that it holds one of any one more of them; the template's rarest such words
+are its keys. Regions are the neighbourhoods of keys, one template length to either side, so that every notice lies in one, long texts
 cost no more than their length, and a notice that is repeated is found each time.
 
 Null and empty texts have no notices; repeated rows are scanned each; other columns are dropped.
@@ -16,6 +19,7 @@ Null and empty texts have no notices; repeated rows are scanned each; other colu
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -27,20 +31,67 @@ from ._common import table
 
 COVERAGE = 0.8
 
-#: Identifier and wording of common notices.
+_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_2 = f"{_BSD}: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_ADVERTISING = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
+_ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'
+_WARRANTY = "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+
+
+def _gnu(name: str, version: str, what: str = "program") -> list[str]:
+    """The notices of a licence of GNU: short, opening and whole."""
+    opening = f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License"
+    return [f"This work is licensed under the GNU {name}, version {version}.", opening, f"{opening}, or (at your option) any later version. This {what} {_WARRANTY} See the GNU {name} for more details. You should have received a copy of the GNU {name} along with this {what}. If not, see"]
+
+
+def _cc(code: str, name: str) -> list[str]:
+    return [f"Licensed under CC {code} 4.0.", f"This work is licensed under a Creative Commons {name} 4.0 International License."]
+
+
+#: Identifier and wording of common notices. BSD is the opening that all BSD licences share, where no more of one is there.
 TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, Version 2.0."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "MIT": [
+        "Released under the MIT License.", "Licensed under the MIT License.", _MIT,
+        f'{_MIT}, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ],
+    "ISC": [
+        "Released under the ISC License.", "Licensed under the ISC License.",
+        'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    ],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ],
+    "GPL-3.0": _gnu("General Public License", "3"),
+    "GPL-2.0": _gnu("General Public License", "2"),
+    "LGPL-3.0": _gnu("Lesser General Public License", "3", "library"),
+    "LGPL-2.1": _gnu("Lesser General Public License", "2.1", "library"),
+    "LGPL-2.0": _gnu("Library General Public License", "2", "library"),
+    "AGPL-3.0": _gnu("Affero General Public License", "3"),
+    "BSD": [_BSD],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", f"{_BSD_2} {_AS_IS}"],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", f"{_BSD_2} 3. {_ENDORSE} {_AS_IS}"],
+    "BSD-4-Clause": [f"{_BSD_2} {_ADVERTISING} 4. {_ENDORSE} {_AS_IS}"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, Version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "CC-BY-NC-4.0": _cc("BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-SA-4.0": _cc("BY-SA", "Attribution-ShareAlike"),
+    "CC-BY-ND-4.0": _cc("BY-ND", "Attribution-NoDerivatives"),
+    "CC-BY-NC-SA-4.0": _cc("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND-4.0": _cc("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    "CC-BY-4.0": _cc("BY", "Attribution"),
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+}
+#: Words that tell a licence from its relatives: where a template has one, it must be among the matched words.
+REQUIRED = {
+    "MIT": "mit license sublicense", "ISC": "isc license fee", "Apache-2.0": "apache 2.0", "MPL-2.0": "mozilla 2.0", "GPL-3.0": "general 3", "GPL-2.0": "general 2", "LGPL-3.0": "lesser 3", "LGPL-2.1": "lesser 2.1", "LGPL-2.0": "library 2", "AGPL-3.0": "affero 3",
+    "BSD-2-Clause": "bsd 2-clause redistributions", "BSD-3-Clause": "bsd 3-clause redistributions endorse", "BSD-4-Clause": "redistributions endorse advertising", "Unlicense": "unencumbered",
+    "CC-BY-4.0": "cc by attribution 4.0", "CC-BY-NC-4.0": "cc by-nc attribution-noncommercial 4.0", "CC-BY-SA-4.0": "cc by-sa attribution-sharealike 4.0", "CC-BY-ND-4.0": "cc by-nd attribution-noderivatives 4.0",
+    "CC-BY-NC-SA-4.0": "cc by-nc-sa attribution-noncommercial-sharealike 4.0", "CC-BY-NC-ND-4.0": "cc by-nc-nd attribution-noncommercial-noderivatives 4.0",
 }
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -110,8 +161,14 @@ class Scanner:
         forms = [(name, normal(t)) for name, many in templates.items() for t in many]
         common = Counter(w for _, ws in forms for w in set(ws))
         for name, ws in forms:
-            lacking = len(ws) - -(-len(ws) * coverage // 1)
+            n = len(ws)
+            wanted = math.ceil(n * coverage - 1e-9)
+            required = frozenset(REQUIRED.get(name, "").split()).intersection(ws)
+            lacking = n - wanted
             order = sorted(set(ws), key=lambda w: (common[w], -len(w), w))
+            if required and n >= 20:
+                self.forms.append((name, ws, frozenset([max(required, key=lambda w: (len(w), w))]), required, wanted))
+                continue
             keys: list[str] = []
             n = 0
             for w in order:
@@ -119,13 +176,13 @@ class Scanner:
                 n += ws.count(w)
                 if n > lacking:
                     break
-            self.forms.append((name, ws, frozenset(keys)))
+            self.forms.append((name, ws, frozenset(keys), required, wanted))
         #: Substrings of which any text with a key has one; few scans at the speed of C decide most texts.
-        self.keys = sorted({k for _, _, ks in self.forms for k in ks})
+        self.keys = sorted({k for _, _, ks, _, _ in self.forms for k in ks})
         self.first = [k for k in self.keys if not any(o != k and o in k for o in self.keys)]
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
-        """first word, end word, license, coverage of each notice; where notices overlap, the best covered (then longest) template."""
+        """first word, end word, license, coverage of each notice; where notices overlap, the one with the most matched words (then the best covered, then the shortest)."""
         if not text:
             return []
         low = text.lower()
@@ -135,9 +192,9 @@ class Scanner:
         vocabulary = set(ws)
         found = []
         places = None
-        for name, form, keys in self.forms:
+        for name, form, keys, required, wanted in self.forms:
             held = keys & vocabulary
-            if not held:
+            if not held or not required <= vocabulary:
                 continue
             if places is None:
                 places = defaultdict(list)
@@ -145,7 +202,6 @@ class Scanner:
                     if w in self._all:
                         places[w].append(i)
             n = len(form)
-            wanted = self.coverage * n
             spans: list[list[int]] = []
             for i in sorted(i for k in held for i in places[k]):
                 lo, hi = max(0, i - n), min(len(ws), i + n + 1)
@@ -159,10 +215,15 @@ class Scanner:
                     if len(pairs) < wanted:
                         break
                     pairs = self._dense(pairs, n)
-                    if len(pairs) >= wanted:
-                        found.append((lo + pairs[0][0], lo + pairs[-1][0] + 1, name, len(pairs) / n, n))
+                    if len(pairs) >= wanted and required <= {form[j] for _, j in pairs}:
+                        first, end = lo + pairs[0][0], lo + pairs[-1][0] + 1
+                        if end - first > len(pairs):  # what came before may have lent its first words: the same from the end
+                            back = align(ws[first:end][::-1], form[::-1])
+                            if len(back) >= len(pairs) and required <= {form[n - 1 - j] for _, j in back}:
+                                first, pairs = end - 1 - back[-1][0], [(end - 1 - i - lo, n - 1 - j) for i, j in reversed(back)]
+                        found.append((first, end, name, len(pairs) / n, len(pairs)))
                     lo += max(pairs[-1][0], 0) + 1
-        found.sort(key=lambda x: (-x[3], -x[4], x[0], x[2]))
+        found.sort(key=lambda x: (-x[4], -x[3], x[1] - x[0], x[0], x[2]))
         kept: list = []
         for x in found:
             if all(x[1] <= y[0] or x[0] >= y[1] for y in kept):

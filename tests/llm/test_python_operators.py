@@ -151,3 +151,21 @@ def test_content_overrules_ambiguous_words(spark):
     df = spark.createDataFrame([(i, f"http://h.example/{i}", page(body.format(i))) for i in range(20)] + [(50, "http://one.example/", page(body.format(50)))], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
     assert got == {i: f"text {i}\nclause {i}\nas {i} shows\nnote {i}" for i in range(20)} | {50: "text 50"}
+
+
+def test_notices_of_related_licences():
+    scan = lambda t: [x[2] for x in L.Scanner().scan(t)]
+    for name in L.TEMPLATES:
+        for form in L.TEMPLATES[name]:
+            assert scan(f"some words before. {form} and some after") == [name], form
+    bsd2, bsd3 = L.TEMPLATES["BSD-2-Clause"][-1], L.TEMPLATES["BSD-3-Clause"][-1]
+    assert scan(bsd2) == ["BSD-2-Clause"] and scan(f"{bsd2} x {bsd3}") == ["BSD-2-Clause", "BSD-3-Clause"]
+    agpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    lgpl = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    assert scan(agpl) == ["AGPL-3.0"] and scan(lgpl) == ["LGPL-2.1"] and scan(agpl.replace("Affero ", "")) == ["GPL-3.0"]
+    assert scan("Released under the ISC License. Released under the MIT License.") == ["ISC", "MIT"]
+    assert scan("It is licensed under the same license.") == [] == scan("Licensed under X BY 4.0.")
+    for t in ("Released under the terms of the MIT license", "Distributed under the MIT License", "released under MIT license"):
+        assert scan(t) == ["MIT"], t
+    first, end, name, _ = L.Scanner().scan(f"a b c {L.TEMPLATES['MIT'][-1]} d e")[0]
+    assert (first, end, name) == (3, 3 + len(L.normal(L.TEMPLATES["MIT"][-1])), "MIT")
