@@ -9,8 +9,8 @@ lexical pattern; the value's make-up (hex, digits, upper, lower, mixed) is the i
 whose value is, or whose label names, a known kind. Spark counts the pattern-instance graph over the whole
 corpus and scores it for a few rounds: a pattern's confidence is the score of its instances, weighted by
 occurrences and smoothed; an instance's score is the confidence of its patterns, and seeds pull towards 1.
-The ``max_patterns`` best patterns of at least ``min_confidence`` and ``min_support`` mark every value behind
-them, seen before or not; values of a seed form are marked wherever they stand. These spans (kind ``key``)
+All patterns of at least ``min_confidence`` and ``min_support`` mark every value behind
+them, seen before or not (up to ``FEW_PATTERNS`` of them as constants of the plan, more by a shuffled join); values of a seed form are marked wherever they stand. These spans (kind ``key``)
 come after the base kinds, less any that overlaps one.
 
 Offsets are code points, end exclusive. Null counts as empty; repeated rows are searched each; an empty
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from ._common import stage, table
 
-ROUNDS, MIN_CONFIDENCE, MIN_SUPPORT, MAX_PATTERNS = 4, 0.5, 3, 500
+ROUNDS, MIN_CONFIDENCE, MIN_SUPPORT = 4, 0.5, 3
+#: So many patterns are written into the plan (each at most 30 characters); more are joined.
+FEW_PATTERNS = 2000
 #: Matches are summed up in runs of so many, so that offsets of very many matches cost no square.
 _RUN = 256
 
@@ -35,6 +37,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 LABELLED = r"(?<!\p{L})\p{L}{2,20}+ {0,2}+[=:#] {0,2}+[\"']?+(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{8,}+"
+GUARD = r"\p{L} {0,2}[=:#] {0,2}[\"']?[A-Za-z_-]*[0-9]"
 LABEL = r"^(\p{L}+ {0,2}[=:#] {0,2}[\"']?)"
 #: Forms known in advance: access key identifiers and tokens with a published prefix.
 SEED_FORM = r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{24})(?![A-Za-z0-9_-])"
@@ -123,14 +126,14 @@ def _label(x: Column) -> Column:
 def graph(documents: DataFrame) -> DataFrame:
     """pattern, instance, n, seeds: how often the corpus has a value of that make-up behind that label."""
     text = F.col("text")
-    found = documents.where(text.rlike(r"\p{L} {0,2}[=:#] {0,2}[\"']?[A-Za-z_-]*[0-9]")).select(F.explode(F.regexp_extract_all(text, F.lit(LABELLED), F.lit(0))).alias("x"))
+    found = documents.where(text.rlike(GUARD)).select(F.explode(F.regexp_extract_all(text, F.lit(LABELLED), F.lit(0))).alias("x"))
     found = found.select(_label(F.col("x")).alias("pattern"), F.regexp_replace("x", LABEL, "").alias("value"))
     seed = F.regexp_extract("pattern", r"^(\p{L}+)", 1).rlike(SEED_LABEL) | F.col("value").rlike(f"^{SEED_FORM}$")
     return found.groupBy("pattern", make_up(F.col("value")).alias("instance")).agg(F.count("*").alias("n"), F.sum(seed.cast("long")).alias("seeds"))
 
 
-def learn(documents: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT, max_patterns: int = MAX_PATTERNS) -> list[str]:
-    """The labels behind which values are identifiers, best first."""
+def patterns_of(documents: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """pattern, confidence, support: all labels behind which values are identifiers."""
     edges = stage(graph(documents), "pii-graph")
     scores = edges.groupBy("instance").agg((F.sum("seeds") / (F.sum("n") + 1)).alias("score"))
     patterns = None
@@ -139,24 +142,46 @@ def learn(documents: DataFrame, rounds: int = ROUNDS, min_confidence: float = MI
         patterns = edges.join(scores, "instance").groupBy("pattern").agg((F.sum(F.col("seeds") + (F.col("n") - F.col("seeds")) * F.col("score")) / (F.sum("n") + 1)).alias("confidence"), F.sum("n").alias("support"))
         patterns = stage(patterns, "pii-patterns")
         scores = stage(edges.join(patterns, "pattern").groupBy("instance").agg((F.sum(F.col("n") * F.greatest(F.col("confidence"), F.col("seeds") / F.col("n"))) / F.sum("n")).alias("score")), "pii-scores")
-    best = patterns.where((F.col("confidence") >= min_confidence) & (F.col("support") >= min_support)).orderBy(F.desc("confidence"), F.desc("support"), "pattern").limit(max_patterns)
+    return patterns.where((F.col("confidence") >= min_confidence) & (F.col("support") >= min_support))
+
+
+def learn(documents: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT) -> list[str]:
+    """The labels of :func:`patterns_of`, best first."""
+    best = patterns_of(documents, rounds, min_confidence, min_support).orderBy(F.desc("confidence"), F.desc("support"), "pattern")
     return [r["pattern"] for r in best.collect()]
 
 
-def find(documents: DataFrame, labels: list[str] | None = None, out: str = "pii") -> DataFrame:
+def _held(documents: DataFrame, patterns: DataFrame, key: str, out: str) -> DataFrame:
+    """key (the text's hash), out: which of the patterns each text holds."""
+    text = F.col("text")
+    labels = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(LABELLED), F.lit(0)), _label))
+    found = documents.where(text.rlike(GUARD)).select(F.sha2(text, 256).alias(key), F.explode(labels).alias("pattern")).distinct()
+    return found.join(patterns.select("pattern"), "pattern").groupBy(key).agg(F.collect_set("pattern").alias(out))
+
+
+def find(documents: DataFrame, labels: list[str] | DataFrame | None = None, out: str = "pii") -> DataFrame:
     """documents with a struct of arrays (start, end, value) by kind: email, ip, card, phone, key."""
-    labels = learn(documents) if labels is None else labels
-    raw = f"__{out}_text"
+    if labels is None:
+        labels = stage(patterns_of(documents).select("pattern"), "pii-labels")
+    if isinstance(labels, DataFrame):
+        few = labels.limit(FEW_PATTERNS + 1).collect()
+        if len(few) <= FEW_PATTERNS:
+            labels = [r["pattern"] for r in few]
+    raw, mine, key = f"__{out}_text", f"__{out}_held", f"__{out}_hash"
     df = documents.withColumn(raw, F.coalesce(F.col("text"), F.lit("")))
+    joined = isinstance(labels, DataFrame)
+    if joined:
+        df = df.withColumn(key, F.sha2(raw, 256)).join(_held(documents, labels, key, mine), key, "left").drop(key)
     text = F.col(raw)
     none = F.array().cast(_ITEM)
     kinds = base_spans(text)
     seeded = F.when(text.rlike("AKIA|gh[pousr]_|sk_"), matches(text, SEED_FORM)).otherwise(none)
-    if labels:
+    if joined or labels:
         label = lambda m: F.regexp_extract(m["value"], LABEL, 1)
+        known = lambda x: F.coalesce(F.array_contains(F.col(mine), x), F.lit(False)) if joined else x.isin(labels)
         behind = F.when(
-            text.rlike(r"\p{L} {0,2}[=:#] {0,2}[\"']?[A-Za-z_-]*[0-9]"),
-            F.transform(F.filter(matches(text, LABELLED), lambda m: F.lower(label(m)).isin(labels)), lambda m: F.struct((m["start"] + F.length(label(m))).alias("start"), m["end"].alias("end"), F.regexp_replace(m["value"], LABEL, "").alias("value"))),
+            text.rlike(GUARD),
+            F.transform(F.filter(matches(text, LABELLED), lambda m: known(F.lower(label(m)))), lambda m: F.struct((m["start"] + F.length(label(m))).alias("start"), m["end"].alias("end"), F.regexp_replace(m["value"], LABEL, "").alias("value"))),
         ).otherwise(none)
         more = F.concat(behind, F.filter(seeded, lambda s: ~F.exists(F.col(f"__{out}_behind"), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))))
         df = df.withColumn(f"__{out}_behind", behind)
@@ -166,7 +191,7 @@ def find(documents: DataFrame, labels: list[str] | None = None, out: str = "pii"
     base = F.concat(*(F.col(out)[k] for k in kinds))
     clear = F.transform(F.array(base), lambda b: F.filter(F.col(out)["more"], lambda m: ~F.exists(b, lambda x: (x["start"] < m["end"]) & (x["end"] > m["start"]))))[0]
     key = F.sort_array(F.when(F.size(F.col(out)["more"]) > 0, clear).otherwise(none))
-    return df.withColumn(out, F.struct(*(F.col(out)[k].alias(k) for k in kinds), key.alias("key"))).drop(raw, f"__{out}_behind")
+    return df.withColumn(out, F.struct(*(F.col(out)[k].alias(k) for k in kinds), key.alias("key"))).drop(raw, mine, f"__{out}_behind")
 
 
 def listed(pii: Column, kinds: tuple[str, ...]) -> Column:

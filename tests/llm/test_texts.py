@@ -175,3 +175,17 @@ def test_decontamination(spark):
     want = brute_overlaps(docs, items)
     assert got == want and got
     assert C.find_overlaps(df, bench.limit(0)).count() == 0 and C.find_overlaps(df.limit(0), bench).count() == 0
+
+
+def test_every_pattern_above_the_thresholds_counts(spark, monkeypatch):
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03}")
+    secret = lambda i: f"AKIA{i:08}ABCDEFGH"
+    rows = [(i, "".join(f"k{name(j)}: {secret(9 * j + i)} " for j in range(520)) + f"k{name(i)}: value{i}0000", "s", 1, "k") for i in range(3)]
+    rows += [(7, "kaaa: other123456", "s", 1, "k"), (7, "kaaa: other123456", "s", 1, "k"), (None, "kabc= other123456", "s", 1, "k"), (8, None, "s", 1, "k"), (9, "", "s", 1, "k")]
+    df = spark.createDataFrame(rows, DOCS)
+    assert len(P.learn(df)) == 520
+    told = lambda: sorted(map(tuple, P.find(df).select("doc_id", P.listed(F.col("pii"), (*PATTERNS, "key")), *df.columns[1:]).collect()), key=repr)
+    few = told()
+    assert [r[1] for r in few if r[0] == 7] == ["key:6:17"] * 2 and sorted(r[1].count("key:") for r in few if r[0] in (0, 1, 2)) == [521] * 3
+    monkeypatch.setattr(P, "FEW_PATTERNS", 10)
+    assert told() == few
