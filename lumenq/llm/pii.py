@@ -5,10 +5,13 @@ Base kinds (email, ip, card, phone) are leftmost, non-overlapping matches of fix
 
 Bootstrapping finds identifiers of no known form. Occurrences are values of eight or more of
 ``[A-Za-z0-9_-]`` with a digit, behind a label (a word and ``=``, ``:`` or ``#``). The label as written is the
-lexical pattern; the value's make-up (hex, digits, upper, lower, mixed) is the instance. Seeds are occurrences
-whose value is, or whose label names, a known kind. Spark counts the pattern-instance graph over the whole
-corpus and scores it for a few rounds: a pattern's confidence is the score of its instances, weighted by
-occurrences and smoothed; an instance's score is the confidence of its patterns, and seeds pull towards 1.
+lexical pattern, the value (by its hash) the instance. Seeds are occurrences whose value is (a known form, a
+checked card number), or whose label names, a known kind. Spark counts the pattern-instance graph over the
+whole corpus and scores it for a few rounds: a pattern's confidence is the score of its instances, weighted by
+occurrences and smoothed; an instance's score for a pattern is the confidence of the other patterns that have
+it, seeds being sure. A pattern is no evidence for itself. Where the value says less, its make-up (hex, digits,
+upper, lower, mixed) does: its score for a pattern is the share of seeds among that make-up's occurrences
+behind other patterns, and no round adds to it.
 All patterns of at least ``min_confidence`` and ``min_support`` mark every value behind
 them, seen before or not (up to ``FEW_PATTERNS`` of them as constants of the plan, more by a shuffled join); values of a seed form are marked wherever they stand. These spans (kind ``key``)
 come after the base kinds, less any that overlaps one.
@@ -124,25 +127,39 @@ def _label(x: Column) -> Column:
 
 
 def graph(documents: DataFrame) -> DataFrame:
-    """pattern, instance, n, seeds: how often the corpus has a value of that make-up behind that label."""
+    """pattern, instance, shape, n, seeds: how often the corpus has a value (hashed) behind a label."""
     text = F.col("text")
     found = documents.where(text.rlike(GUARD)).select(F.explode(F.regexp_extract_all(text, F.lit(LABELLED), F.lit(0))).alias("x"))
     found = found.select(_label(F.col("x")).alias("pattern"), F.regexp_replace("x", LABEL, "").alias("value"))
-    seed = F.regexp_extract("pattern", r"^(\p{L}+)", 1).rlike(SEED_LABEL) | F.col("value").rlike(f"^{SEED_FORM}$")
-    return found.groupBy("pattern", make_up(F.col("value")).alias("instance")).agg(F.count("*").alias("n"), F.sum(seed.cast("long")).alias("seeds"))
+    value = F.col("value")
+    card = F.when(value.rlike("^[0-9](?:-?[0-9]){12,18}$"), luhn(_digits(value))).otherwise(False)
+    seed = F.regexp_extract("pattern", r"^(\p{L}+)", 1).rlike(SEED_LABEL) | value.rlike(f"^{SEED_FORM}$") | card
+    # Checked numbers are a make-up of their own: they tell nothing of other digits.
+    return found.groupBy("pattern", F.xxhash64("value").alias("instance"), F.when(card, "card").otherwise(make_up(value)).alias("shape")).agg(F.count("*").alias("n"), F.sum(seed.cast("long")).alias("seeds"))
 
 
 def patterns_of(documents: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT) -> DataFrame:
     """pattern, confidence, support: all labels behind which values are identifiers."""
     edges = stage(graph(documents), "pii-graph")
-    scores = edges.groupBy("instance").agg((F.sum("seeds") / (F.sum("n") + 1)).alias("score"))
-    patterns = None
+    n, seeds, rest = F.col("n"), F.col("seeds"), F.col("n") - F.col("seeds")
+    # What a make-up says of a pattern: seeds of the other patterns that have it.
+    made = stage(edges.groupBy("pattern", "shape").agg(F.sum("n").alias("n"), F.sum("seeds").alias("seeds")), "pii-shapes")
+    total = made.groupBy("shape").agg(F.sum("n").alias("all_n"), F.sum("seeds").alias("all_seeds"))
+    prior = made.join(total, "shape").select("pattern", "shape", ((F.col("all_seeds") - seeds) / (F.col("all_n") - n + 1)).alias("prior"), "n", "seeds")
+    patterns = prior.groupBy("pattern").agg(F.sum(seeds + rest * F.col("prior")).alias("base"), F.sum("n").alias("support"))
+    patterns = stage(patterns.withColumn("confidence", F.col("base") / (F.col("support") + 1)), "pii-patterns")
+    # Only values that stand behind several patterns carry scores from one to another.
+    several = edges.groupBy("instance").agg(F.count("*").alias("k")).where("k > 1").select("instance")
+    shared = stage(edges.join(several, "instance").join(prior.select("pattern", "shape", "prior"), ["pattern", "shape"]), "pii-shared")
     for _ in range(rounds):
-        # Seeds count as sure; what stands beside them counts as far as its make-up is trusted.
-        patterns = edges.join(scores, "instance").groupBy("pattern").agg((F.sum(F.col("seeds") + (F.col("n") - F.col("seeds")) * F.col("score")) / (F.sum("n") + 1)).alias("confidence"), F.sum("n").alias("support"))
+        sure = shared.join(patterns.select("pattern", "confidence"), "pattern").withColumn("sure", seeds + rest * F.col("confidence"))
+        score = sure.groupBy("instance").agg(F.sum("sure").alias("all_sure"), F.sum("n").alias("all_n"))
+        other = (F.col("all_sure") - F.col("sure")) / (F.col("all_n") - n)
+        # As much as the value says beyond its make-up, which the base holds.
+        more = sure.join(score, "instance").groupBy("pattern").agg(F.sum(rest * F.greatest(other - F.col("prior"), F.lit(0.0))).alias("more"))
+        patterns = patterns.join(more, "pattern", "left").select("pattern", "base", "support", ((F.col("base") + F.coalesce("more", F.lit(0.0))) / (F.col("support") + 1)).alias("confidence"))
         patterns = stage(patterns, "pii-patterns")
-        scores = stage(edges.join(patterns, "pattern").groupBy("instance").agg((F.sum(F.col("n") * F.greatest(F.col("confidence"), F.col("seeds") / F.col("n"))) / F.sum("n")).alias("score")), "pii-scores")
-    return patterns.where((F.col("confidence") >= min_confidence) & (F.col("support") >= min_support))
+    return patterns.drop("base").where((F.col("confidence") >= min_confidence) & (F.col("support") >= min_support))
 
 
 def learn(documents: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE, min_support: int = MIN_SUPPORT) -> list[str]:

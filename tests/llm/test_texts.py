@@ -189,3 +189,14 @@ def test_every_pattern_above_the_thresholds_counts(spark, monkeypatch):
     assert [r[1] for r in few if r[0] == 7] == ["key:6:17"] * 2 and sorted(r[1].count("key:") for r in few if r[0] in (0, 1, 2)) == [521] * 3
     monkeypatch.setattr(P, "FEW_PATTERNS", 10)
     assert told() == few
+
+
+def test_values_and_not_only_make_up_carry_scores(spark):
+    h = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    said = [f"password={h(i)}" for i in range(30)] + [f"zugang: {h(i)}" for i in range(30)] + [f"commit: {h(100 + i)}" for i in range(50)] + [f"digest={h(200 + i)}" for i in range(50)]
+    df = spark.createDataFrame([(i, f"{t} x", "s", 1, "k") for i, t in enumerate(said)], DOCS)
+    assert set(P.learn(df)) == {"password=", "zugang: "}
+    cards = [f"karte: 41111111111111{i:02}" for i in range(99)]
+    valid = [t for t in cards if luhn(t[7:])]
+    df = spark.createDataFrame([(i, f"{t} x", "s", 1, "k") for i, t in enumerate(valid + [f"order: {20240000 + i}" for i in range(40)])], DOCS)
+    assert P.learn(df) == ["karte: "]
