@@ -1,10 +1,10 @@
-"""Exact substring deduplication by prefix-partitioned suffix trees.
+"""Exact substring deduplication by hashed windows, where a generalised suffix tree would be too large.
 
 A repeat is a run of ``length`` (50) words that also starts in a document with a smaller doc_id; every word of
 it goes. In the generalised suffix tree of all texts these are the suffixes below internal nodes of depth 50
 or more, and such a node removes its leaves but those of its smallest document.
 
-The tree is never built whole:
+No tree is built; windows of fixed length give the same rows, but no maximal repeats:
 
 1. Suffixes that could lie below a deep node. Each window of 50 words has the smallest of its 8-gram hashes as
    its anchor; equal windows have equal anchors. Spark finds the anchors that occur in two documents or more
@@ -12,8 +12,8 @@ The tree is never built whole:
    Suffixes whose anchor's bit is not set have no equal elsewhere; false bits only cost rows.
 2. Groups. A suffix goes to the group of its prefix of 8 words; prefixes that are frequent in a bounded sample
    are lengthened to 16, 32 or 50 words, so that groups stay small. (The sample decides only where a
-   suffix is handled.) A group's subtree is its suffixes in order; its deep internal nodes are
-   the runs of suffixes that agree over 50 words. They are read as a stream, so a node with any number of
+   suffix is handled.) A group holds its windows in the order of their hashes, not of their words;
+   runs of equal hashes stand for the deep internal nodes. They are read as a stream, so a node with any number of
    leaves needs no memory.
 3. Starts of removed windows are gathered by document and joined to the whole texts.
 
