@@ -1,4 +1,4 @@
-"""Exact substring deduplication by hashed windows, where a generalised suffix tree would be too large.
+"""Exact substring deduplication by hashed windows, in place of a suffix tree.
 
 A repeat is a run of ``length`` (50) words that also starts in a document with a smaller doc_id; every word of
 it goes. In the generalised suffix tree of all texts these are the suffixes below internal nodes of depth 50
