@@ -121,6 +121,48 @@ def test_substrings(spark, monkeypatch):
     assert D.deduplicate(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_substrings_of_odd_tables(spark):
+    """Very long texts, nulls, repeated rows and further columns with the operator's own names."""
+    rng = random.Random(15)
+    passage = words(rng, 70)
+    long_ = words(rng, 30_000)
+    long_[20_000:20_000] = passage
+    rows = [(1, " ".join(words(rng, 20) + passage)), (2, " ".join(long_)), (3, " ".join(long_[10_000:12_000])), (3, " ".join(long_[10_000:12_000])), (4, None), (5, ""), (6, "la " * 9_000), (7, "la " * 60)]
+    df = spark.createDataFrame([(i, t, 1, "x", [1], True) for i, t in rows], "doc_id long, text string, hi int, group string, ranges array<int>, whole boolean")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in D.deduplicate(df).collect())
+    want = brute_substrings([r for k, r in enumerate(rows) if k != 3])
+    assert set(got) == want and len(got) == len(rows)
+    none = spark.createDataFrame([(None, rows[0][1]), (9, rows[0][1])], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in D.deduplicate(none).collect()) == [(0, 0), (9, 0)]
+
+
+def test_subtrees_find_the_smallest_document_of_each_window():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    depth = D.LENGTH - D.GRAM
+    base = [rng.choice("abc") for _ in range(92)]
+    group, doc, n, off, texts = [], [], [], [], []
+    for k in range(60):
+        lo, hi = sorted((rng.randrange(depth + 1), rng.randrange(depth + 1)))  # windows start hi..lo words before the suffix
+        ws = list(base)
+        for _ in range(rng.randrange(3)):
+            ws[rng.randrange(92)] = rng.choice("abcd")
+        group.append(k % 2)
+        doc.append(rng.randrange(40))
+        n.append(hi - lo + 1)
+        off.append(hi)
+        texts.append(" ".join(ws[depth - hi : depth - lo + D.LENGTH]).encode())
+    got = D.smallest(*(np.array(x) for x in (group, doc, n, off)), pa.array(texts, pa.binary()))
+    for a in range(60):
+        for j in range(n[a]):
+            d = off[a] - j
+            w = texts[a].split()[j : j + D.LENGTH]
+            same = [doc[b] for b in range(60) if group[b] == group[a] and 0 <= off[b] - d < n[b] and texts[b].split()[off[b] - d : off[b] - d + D.LENGTH] == w]
+            assert got[a, j] == min(same)
+
+
 def test_sliding_anchors():
     import numpy as np
 
