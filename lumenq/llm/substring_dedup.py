@@ -13,15 +13,15 @@ it goes.
    right, as far as its windows reach, and its group is that prefix. Prefixes have variable length: with
    k = 42 they are the anchor's 8 words; anchors that occur more often than ``HEAVY`` (exact counts) are cut
    into windows with k = 21, 10 or 0, so that prefixes have 29, 40 or 50 words. So a group never has more pieces
-   than its level allows (100 x HEAVY; at 50 words a group is one piece) and fits in memory. A task sends the words
+   than its level allows (32 x HEAVY; at 50 words a group is one piece) and fits in memory. A task sends the words
    of equal pieces once, so a passage that a third of all documents hold is a handful of rows.
 3. Subtrees. A group's suffixes are sorted word by word, and so are its reversed left contexts; the common prefix
    lengths of neighbours give the nodes of both trees. A window that starts d words left of x is a node of depth
    50 - d in the one and of depth d in the other; such deep nodes hold its leaves, and the smallest doc_id below is
    kept. Words are compared themselves, not hashed; hashes decide only where a piece is handled, but for two:
    equal pieces, and equal texts, are told by 128 bits of BLAKE2.
-4. Each piece's runs of windows with their smallest document meet all its occurrences (pieces of frequent anchors
-   salted 64 ways); ranges with a smaller document are gathered by doc_id and joined to the whole texts.
+4. Each piece's runs of windows with their smallest document meet all its occurrences (an adaptive
+   join, which splits the occurrences of a frequent piece over tasks); ranges with a smaller document are gathered by doc_id and joined to the whole texts.
 
 A text that is the same as that of a smaller doc_id goes as a whole (if it has 50 words); each task
 sends the pieces of equal texts once.
@@ -47,16 +47,14 @@ from ._common import release, stage, table
 from .jaccard_join import _mix, _Words
 
 LENGTH, GRAM = 50, 8
-#: Occurrences from which an anchor's windows are cut into 2 pieces; from 10 and 100 times as many into 4 and 43.
+#: Occurrences from which an anchor's windows are cut into 2 pieces; from 8 and 32 times as many into 4 and 43.
 HEAVY = 2_000
 #: At most so many anchors are told to the tasks as frequent (9 MB): HEAVY is raised to all occurrences / MOST_HEAVY if need be.
 MOST_HEAVY = 1_000_000
 #: By level, the distances between a window's start and its anchor that share a piece.
 LEVELS = (((0, 42),), ((0, 21), (22, 42)), ((0, 10), (11, 21), (22, 32), (33, 42)), tuple((d, d) for d in range(43)))
 #: Pieces whose trees are built at once (whole groups; a larger group stands alone).
-CHUNK = 40_000
-#: Occurrences of a frequent anchor's piece meet its runs in so many places.
-SALTS = 64
+CHUNK = 10_000
 #: Bits of the anchors' bitmap (16 MB).
 BITS = 1 << 27
 
@@ -185,12 +183,12 @@ def _frequent(counts: DataFrame, total: int):
     got = counts.where(F.col("n") > heavy).toArrow()
     anchor, n = got.column("anchor").to_numpy().view(_U), got.column("n").to_numpy()
     order = np.argsort(anchor)
-    level = 1 + (n > 10 * heavy).astype(np.int8) + (n > 100 * heavy)
+    level = 1 + (n > 8 * heavy).astype(np.int8) + (n > 32 * heavy)
     return counts.sparkSession.sparkContext.broadcast((anchor[order], level[order]))
 
 
-def cut(h: _Text, bits: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Pieces of a text, as arrays by level: level, group, first window, last window, place of the suffix."""
+def cut(h: _Text, bits: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of a text, as arrays: group, first window, last window, place of the suffix."""
     grams = h.of(GRAM)
     at = anchor_places(grams)
     new = np.ones(len(at), bool)
@@ -213,11 +211,11 @@ def cut(h: _Text, bits: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) ->
             some = p <= q
             x = place[some] - lo
             if len(x):
-                yield lv, _mix(h.at(x, LENGTH - (hi - lo)) + _U(lv * 64 + lo)), p[some], q[some], x
+                yield _mix(h.at(x, LENGTH - (hi - lo)) + _U(lv * 64 + lo)), p[some], q[some], x
 
 
 def _pieces(documents: DataFrame, bitmap, frequent) -> DataFrame:
-    """group, hi, lo (digest), doc_id, start, n (windows), off (of the suffix), hot, words (null where the task has sent them)."""
+    """group, hi, lo (digest), doc_id, start, n (windows), off (of the suffix), words (null where the task has sent them)."""
 
     def run(batches):
         known, powers, once, sent = _Words(7), _Powers(), _Once(), _Once()
@@ -228,29 +226,29 @@ def _pieces(documents: DataFrame, bitmap, frequent) -> DataFrame:
         def flush():
             two = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             cols = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            group, doc, start, n, off, hot, words = (pa.array(c, k) for c, k in zip(cols, kinds, strict=True))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            group, doc, start, n, off, words = (pa.array(c, k) for c, k in zip(cols, kinds, strict=True))
             rows.clear()
             digests.clear()
-            return pa.RecordBatch.from_arrays([group, pa.array(two[:, 0]), pa.array(two[:, 1]), doc, start, n, off, hot, words], names=["group", "hi", "lo", "doc_id", "start", "n", "off", "hot", "words"])
+            return pa.RecordBatch.from_arrays([group, pa.array(two[:, 0]), pa.array(two[:, 1]), doc, start, n, off, words], names=["group", "hi", "lo", "doc_id", "start", "n", "off", "words"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ws = split(text)
                 if len(ws) < LENGTH or doc is None or not once.new(digest(ws), doc):
                     continue
-                for lv, groups, ps, qs, xs in cut(_Text(word_hashes(ws, known), powers), bits, often):
+                for groups, ps, qs, xs in cut(_Text(word_hashes(ws, known), powers), bits, often):
                     for g, p, q, x in zip(groups.view(np.int64).tolist(), ps.tolist(), qs.tolist(), xs.tolist(), strict=True):
                         piece = b" ".join(ws[p : q + LENGTH])
                         d = hashlib.blake2b(piece, digest_size=16).digest()
                         digests.append(d)
-                        rows.append((g, doc, p, q - p + 1, x - p, lv > 0, piece if sent.new(d, doc) else None))
-                        if len(rows) >= 20_000:
+                        rows.append((g, doc, p, q - p + 1, x - p, piece if sent.new(d, doc) else None))
+                        if len(rows) >= 10_000:
                             yield flush()
         if rows:
             yield flush()
 
-    return documents.mapInArrow(run, "group long, hi long, lo long, doc_id long, start int, n int, off int, hot boolean, words binary")
+    return documents.mapInArrow(run, "group long, hi long, lo long, doc_id long, start int, n int, off int, words binary")
 
 
 def _nodes(codes: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +298,7 @@ def smallest(group: np.ndarray, doc: np.ndarray, n: np.ndarray, off: np.ndarray,
 
 
 def _subtrees(pieces: DataFrame) -> DataFrame:
-    """hi, lo, hot, n, at, first: of each piece the runs of its windows (by their first) with the smallest document that has them."""
+    """hi, lo, n, at, first: of each piece the runs of its windows (by their first) with the smallest document that has them."""
 
     def build(table: pa.Table) -> pa.RecordBatch:
         group, hi, lo = (table.column(c).to_numpy() for c in ("group", "hi", "lo"))
@@ -315,7 +313,7 @@ def _subtrees(pieces: DataFrame) -> DataFrame:
         row, at = np.nonzero(change & (np.arange(first.shape[1]) < n[:, None]))
         ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(n))))).astype(np.int32))
         lists = [pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(first[row, at]))]
-        return pa.RecordBatch.from_arrays([*(table.column(c).chunk(0) for c in ("hi", "lo", "hot", "n")), *lists], names=["hi", "lo", "hot", "n", "at", "first"])
+        return pa.RecordBatch.from_arrays([*(table.column(c).chunk(0) for c in ("hi", "lo", "n")), *lists], names=["hi", "lo", "n", "at", "first"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -337,8 +335,8 @@ def _subtrees(pieces: DataFrame) -> DataFrame:
         if rows:
             yield build(pa.Table.from_batches(held))
 
-    told = pieces.where("words IS NOT NULL").select("group", "hi", "lo", "doc_id", "n", "off", "hot", "words")
-    return told.repartition("group").sortWithinPartitions("group", "hi", "lo", "doc_id").mapInArrow(run, "hi long, lo long, hot boolean, n int, at array<int>, first array<long>")
+    told = pieces.where("words IS NOT NULL").select("group", "hi", "lo", "doc_id", "n", "off", "words")
+    return told.repartition("group").sortWithinPartitions("group", "hi", "lo", "doc_id").mapInArrow(run, "hi long, lo long, n int, at array<int>, first array<long>")
 
 
 def removed(documents: DataFrame) -> DataFrame:
@@ -353,11 +351,9 @@ def removed(documents: DataFrame) -> DataFrame:
     total = texts.agg(F.sum(F.size("anchors"))).first()[0] or 0
     bitmap, frequent = _bitmap(counts), _frequent(counts, total)
     pieces = stage(_pieces(docs, bitmap, frequent), "substring-pieces")
-    salt = lambda hot, many: F.when(F.col("hot"), hot).otherwise(many)
-    runs = _subtrees(pieces).withColumn("salt", F.explode(salt(F.sequence(F.lit(0), F.lit(SALTS - 1)), F.array(F.lit(0)))))
-    places = pieces.select("hi", "lo", "doc_id", "start", salt(F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"), F.lit(0)).alias("salt"))
+    places = pieces.select("hi", "lo", "doc_id", "start")
     ranges = F.expr("filter(transform(at, (a, i) -> struct(start + a AS s, start + coalesce(get(at, i + 1), n) - 1 AS e, get(first, i) AS f)), x -> x.f < doc_id)")
-    met = places.join(runs, ["hi", "lo", "salt"]).select("doc_id", F.transform(ranges, lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"))).alias("r"))
+    met = places.join(_subtrees(pieces), ["hi", "lo"]).select("doc_id", F.transform(ranges, lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"))).alias("r"))
     by_doc = met.where(F.size("r") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("r")).alias("ranges"))
     found = stage(by_doc.join(copies.withColumn("whole", F.lit(True)), "doc_id", "full"), "substring-removed")
     release(spark)
