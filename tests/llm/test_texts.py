@@ -200,3 +200,36 @@ def test_values_and_not_only_make_up_carry_scores(spark):
     valid = [t for t in cards if luhn(t[7:])]
     df = spark.createDataFrame([(i, f"{t} x", "s", 1, "k") for i, t in enumerate(valid + [f"order: {20240000 + i}" for i in range(40)])], DOCS)
     assert P.learn(df) == ["karte: "]
+
+
+def test_masks_miss_few_stretches():
+    import numpy as np
+
+    masks = [int(m, 2) for m in C.MASKS]
+    for n in range(10, 21):
+        s = np.arange(1 << (n - 1), 1 << n, dtype=np.int64)
+        s = s[(s & 1) == 1]
+        ones = np.array([bin(x).count("1") for x in range(1 << 10)])
+        n_ones = ones[s & 1023] + ones[s >> 10]
+        good = (n_ones >= C.MIN_WORDS) & (n_ones - C.PENALTY * (n - n_ones) >= C.MIN_SCORE)
+        s, zeros = s[good], n - n_ones[good]
+        seen = np.zeros(len(s), bool)
+        for m, text in zip(masks, C.MASKS, strict=True):
+            for k in range(n - len(text) + 1):
+                seen |= ((s >> k) & m) == m
+        assert seen[zeros <= 1].all() and seen.mean() >= 0.997, (n, seen.mean())
+
+
+def test_decontamination_of_odd_tables(spark):
+    """Very long texts of one word, hits across blocks, seeds that every text has, nulls and clashing columns."""
+    item = " ".join(f"q{k}" for k in range(40))
+    stop = " ".join(["of the"] * 6 + [f"r{k}" for k in range(12)])
+    filler = " ".join(f"f{k}" for k in range(6000))
+    docs = [(1, f"{filler} {item} {filler}"), (2, "la " * 9000), (3, " ".join(["of the"] * 6) + " x"), (4, item), (4, item), (None, item), (5, None), (6, "")]
+    docs += [(10 + k, " ".join(filler.split()[: 250 + k]) + " " + " ".join(item.split()[k % 20 :])) for k in range(12)]
+    df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in docs], "doc_id long, text string, block int, seed string, item_id int")
+    bench = spark.createDataFrame([(1, item, "a"), (2, "la " * 60, "b"), (3, stop, "c"), (4, None, "d")], "item_id long, text string, doc_id string")
+    got = {(r["doc_id"], r["item_id"]): (r["score"], r["equal_words"], r["first_word"], r["end_word"]) for r in C.find_overlaps(df, bench).collect()}
+    want = brute_overlaps([d for d in docs if d[0] not in (None, 2)], [(1, item), (3, stop)])
+    assert {k: v[:2] for k, v in got.items() if k[0] != 2} == want
+    assert got[1, 1] == (40, 40, 6000, 6040) and got[2, 2][:2] == (60, 60) and (4, 1) in got and (3, 3) in got
