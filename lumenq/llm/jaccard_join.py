@@ -13,7 +13,8 @@ sum(t_i + 1) > (|r| + |s|) / 9, then r meets the threshold in one of them.
   choose where to look, never what is found), equal ones first, and pays for one-deletion neighbours only
   where equality can't reach the sum. Segments that many texts share (a licence, a boilerplate passage) are
   thus left out wherever a text has enough others.
-* Sets for which no allocation reaches the sum are joined by their elements (``_by_elements``).
+* Sets for which no allocation reaches the sum are joined by their elements (``_by_elements``): two sets with
+  80 % in common share one of the first fifth of their elements in any order, so only these meet.
 * Candidates: buckets of equal subsets with a prober. Up to ``DIRECT`` sets a bucket gives all its pairs.
   A larger bucket gives a star from its first set; buckets that stars connect share a hub, and what is left
   to find is links between different components of a hub's sets (``_across``): every set is held as its
@@ -22,12 +23,14 @@ sum(t_i + 1) > (|r| + |s|) / 9, then r meets the threshold in one of them.
   of near copies never give all their pairs.
 * Verification compares whole sets.
 
-Equal sets are one node from the start: nodes are hashes of sets, and a second hash tells if two different
-sets ever share a node (then all is done again with another seed). Hashes are 64 bits; there is no cap on
+Equal sets are one node from the start: nodes are 63-bit hashes of sets, and a second hash tells if two different
+sets share a node. Such sets (about five in 10^10) move to nodes made from their second hash, and if that is taken
+to a third, until no node has two sets; so the number of documents is not bounded by the hash. There is no cap on
 partners, candidates or bucket size.
 
 Null, empty and blank texts have no set and stay alone; fewer than five words are one shingle; repeated rows
-share a component; an empty table gives none; other columns are dropped.
+share a component; rows without a doc_id have one of their own kind (null) unless a copy or near copy has an id;
+very long texts are sets like others; an empty table gives none; other columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ from ._common import release, stage, table
 from .graph import components
 
 SHINGLE, SAMPLE, HOT_FROM, HOT_MOST, DIRECT, SMALL = 5, 20_000, 8, 200_000, 8, 30
+#: Sets that may have to leave their first node (a broadcast of at most 4 MB); more would mean that the hash is broken.
+MOST_MOVED = 100_000
 #: Involved documents are broadcast by id up to this many rows (16 MB), else joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -193,14 +198,18 @@ _UNMET = -(1 << 63) + 12345
 _NO_HOT = (np.empty(0, _U), np.empty(0, np.int64))
 
 
-def node_of(h: np.ndarray, seed: int) -> tuple[int, int]:
-    """Node (not negative: the sign is for the probe flag) and check of a set."""
-    a = int(_mix(np.array([_mix(h + _U(seed)).sum(dtype=_U) + _U(len(h))], _U))[0])
+def node_of(h: np.ndarray, seed: int, moved: frozenset[int] = frozenset()) -> tuple[int, int]:
+    """Node (not negative: the sign is for the probe flag) and check of a set; it leaves nodes that several sets had."""
+    a = int(_mix(np.array([_mix(h + _U(seed)).sum(dtype=_U) + _U(len(h))], _U))[0]) >> 1
     b = int(_mix(h ^ _U(0xA0761D6478BD642F)).sum(dtype=_U))
-    return a >> 1, b - (1 << 63)
+    step = 0
+    while a in moved:
+        step += 1
+        a = int(_mix(np.array([b, step], _U)).sum(dtype=_U)) >> 1
+    return a, b - (1 << 63)
 
 
-def _nodes(documents: DataFrame, seed: int) -> DataFrame:
+def _nodes(documents: DataFrame, seed: int, moved: frozenset[int] = frozenset()) -> DataFrame:
     """doc_id, n_shingles, node, check."""
 
     def run(batches):
@@ -210,7 +219,7 @@ def _nodes(documents: DataFrame, seed: int) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 h = shingles(text, known)
                 n.append(len(h))
-                a, b = node_of(h, seed) if len(h) else (None, None)
+                a, b = node_of(h, seed, moved) if len(h) else (None, None)
                 node.append(a)
                 check.append(b)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64())], names=["doc_id", "n_shingles", "node", "check"])
@@ -219,7 +228,7 @@ def _nodes(documents: DataFrame, seed: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, check long")
 
 
-def _rows(documents: DataFrame, seed: int, hot) -> DataFrame:
+def _rows(documents: DataFrame, seed: int, hot, moved: frozenset[int] = frozenset()) -> DataFrame:
     """key, node (negative, by its sign bit, where it probes). A task gives equal sets once."""
 
     def run(batches):
@@ -231,7 +240,7 @@ def _rows(documents: DataFrame, seed: int, hot) -> DataFrame:
                 h = shingles(text, known)
                 if not len(h):
                     continue
-                node = node_of(h, seed)[0]
+                node = node_of(h, seed, moved)[0]
                 if node in seen:
                     continue
                 if len(seen) > 1_000_000:
@@ -264,7 +273,7 @@ def _hot_keys(documents: DataFrame, n: int, seed: int):
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
-    """a, b, key: candidate pairs (key null), and the members of large buckets (a: set, b: 1 if it probes).
+    """a, b, key: candidate pairs (key null), and the members of large buckets (a: set, b: the bucket's first set).
 
     Rows come sorted by key and node, probers first, so a bucket that nobody probes shows at once. A bucket is
     a run; only its first set and, until it turns out to be large, its first DIRECT sets are held.
@@ -312,7 +321,7 @@ def _buckets(rows: DataFrame) -> DataFrame:
                     held.append(node)
                     continue
                 for y in [*held, node]:
-                    put(y & _ID, int(y < 0), key)
+                    put(y & _ID, first & _ID, key)
                     if y != first:
                         put(first & _ID, y & _ID, None)
                 held = []
@@ -424,8 +433,12 @@ def _across(stars: DataFrame, links: DataFrame, documents: DataFrame, nodes: Dat
     return to_hub, pairs
 
 
-def _by_elements(documents: DataFrame, rare: DataFrame, seed: int) -> DataFrame:
-    """Pairs of sets that couldn't be allocated with all sets that share an element and fit in size."""
+def _by_elements(documents: DataFrame, rare: DataFrame, seed: int, moved: frozenset[int] = frozenset()) -> DataFrame:
+    """Pairs of sets that couldn't be allocated with all sets that share an early element and fit in size.
+
+    Similar sets r and s share at least 0.8 of the larger one's elements, so not all of these can lie behind the first
+    n - ceil(0.8 n) + 1 elements of either (in the order of the hash).
+    """
 
     def elements(batches):
         known = _Words(seed)
@@ -433,7 +446,8 @@ def _by_elements(documents: DataFrame, rare: DataFrame, seed: int) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 h = shingles(text, known)
                 if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), node_of(h, seed)[0])), pa.array(np.full(len(h), len(h)))], names=["e", "node", "n"])
+                    early = h[: len(h) - -(-4 * len(h) // 5) + 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(early.view(np.int64)), pa.array(np.full(len(early), node_of(h, seed, moved)[0])), pa.array(np.full(len(early), len(h)))], names=["e", "node", "n"])
 
     everything = documents.select("text").mapInArrow(elements, "e long, node long, n long")
     few = everything.join(rare, "node", "left_semi").distinct().select("e", F.col("node").alias("a"), F.col("n").alias("na"))
@@ -448,25 +462,29 @@ def join(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = documents.sparkSession
     documents = documents.select("doc_id", "text")
-    for seed in range(1, 9):
-        nodes = stage(_nodes(documents, seed), "jaccard-nodes")
-        clash = nodes.where("node is not null").groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("n_shingles").alias("n"), F.max("n_shingles").alias("m")).where("lo <> hi or n <> m").limit(1).count()
-        if not clash:
+    seed, moved = 1, frozenset()
+    while True:
+        nodes = stage(_nodes(documents, seed, moved), "jaccard-nodes")
+        clash = nodes.where("node is not null").groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("n_shingles").alias("n"), F.max("n_shingles").alias("m")).where("lo <> hi or n <> m")
+        taken = frozenset(r["node"] for r in clash.select("node").limit(MOST_MOVED + 1).collect())
+        if not taken:
             break
+        moved |= taken
+        if len(moved) > MOST_MOVED:
+            raise RuntimeError("too many sets share their hashes")
     n = nodes.count()
     hot = _hot_keys(documents, n, seed)
-    found = stage(_buckets(_rows(documents, seed, hot)), "jaccard-buckets")
+    found = stage(_buckets(_rows(documents, seed, hot, moved)), "jaccard-buckets")
     release(spark)
     pairs = found.where("key is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     unmet = found.where(F.col("key") == _UNMET).select(F.col("a").alias("node")).distinct()
     if unmet.limit(1).count():
-        pairs = pairs.union(_by_elements(documents, unmet, seed)).distinct()
+        pairs = pairs.union(_by_elements(documents, unmet, seed, moved)).distinct()
     pairs = stage(_fit(pairs, nodes), "jaccard-pairs")
     links = _verified(pairs, documents, nodes, seed)
-    members = found.where((F.col("key") != _UNMET)).select("key", F.col("a").alias("node"))
-    if members.limit(1).count():
-        first = members.groupBy("key").agg(F.min("node").alias("first"))
-        stars = stage(members.join(first, "key").select(F.col("first").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "jaccard-stars")
+    stars = found.where(F.col("key") != _UNMET).select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")
+    if stars.limit(1).count():
+        stars = stage(stars.distinct(), "jaccard-stars")
         to_hub, more = _across(stars, links, documents, nodes, seed)
         links = links.union(to_hub)
         more = stage(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-more")

@@ -207,3 +207,41 @@ def test_components_of_graphs(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {v: find(v) for e in edges if e[0] != e[1] for v in e}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sets_leave_shared_nodes(spark, monkeypatch):
+    """Different sets with one hash get nodes of their own (the hash is narrowed to force clashes)."""
+    rng = random.Random(8)
+    texts = [" ".join(words(rng, 12)) for _ in range(40)]
+    rows = [(i, t, "e") for i, t in enumerate(texts + texts[:5])]
+    plain = J.node_of
+
+    def narrow(h, seed, moved=frozenset()):
+        a, b = plain(h, seed)
+        for x in (a % 16, a):
+            if x not in moved:
+                return x, b
+        raise AssertionError
+
+    monkeypatch.setattr(J, "node_of", narrow)
+    nodes, _ = J.join(spark.createDataFrame(rows, SCHEMA))
+    assert nodes.select("node").distinct().count() == 40
+    a, b = plain(np_array([5, 9, 12]), 1)
+    moved = plain(np_array([5, 9, 12]), 1, frozenset([a]))
+    assert moved[0] != a and moved[1] == b and plain(np_array([5, 9, 12]), 1, frozenset([a, moved[0]]))[0] not in (a, moved[0])
+
+
+def np_array(x):
+    import numpy as np
+
+    return np.array(x, np.uint64)
+
+
+def test_jaccard_of_odd_tables(spark):
+    """Very long texts, nulls, repeated rows and further columns with the operator's own names."""
+    rng = random.Random(18)
+    long_ = words(rng, 25_000, 10**6)
+    rows = [(1, " ".join(long_)), (2, " ".join(mutate(rng, long_, 50))), (3, " ".join(long_[:9_000])), (4, None), (5, " \t\n "), (6, "a b"), (7, "A  b"), (7, "A  b")]
+    df = spark.createDataFrame([(i, t, 1, "x", [1]) for i, t in rows], "doc_id long, text string, node int, key string, a array<int>")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.group(df).collect())
+    assert set(got) == brute_components(rows) and len(got) == len(rows)
