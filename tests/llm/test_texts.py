@@ -180,7 +180,7 @@ def test_decontamination(spark):
 def test_every_pattern_above_the_thresholds_counts(spark, monkeypatch):
     name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03}")
     secret = lambda i: f"AKIA{i:08}ABCDEFGH"
-    rows = [(i, "".join(f"k{name(j)}: {secret(9 * j + i)} " for j in range(520)) + f"k{name(i)}: value{i}0000", "s", 1, "k") for i in range(3)]
+    rows = [(i, "".join(f"k{name(j)}: {secret(9 * j + i)} " for j in range(520)) + f"k{name(i)}: value{i}0000", "s", 1, "k") for i in range(5)]
     rows += [(7, "kaaa: other123456", "s", 1, "k"), (7, "kaaa: other123456", "s", 1, "k"), (None, "kabc= other123456", "s", 1, "k"), (8, None, "s", 1, "k"), (9, "", "s", 1, "k")]
     df = spark.createDataFrame(rows, DOCS)
     assert len(P.learn(df)) == 520
@@ -233,3 +233,39 @@ def test_decontamination_of_odd_tables(spark):
     want = brute_overlaps([d for d in docs if d[0] not in (None, 2)], [(1, item), (3, stop)])
     assert {k: v[:2] for k, v in got.items() if k[0] != 2} == want
     assert got[1, 1] == (40, 40, 6000, 6040) and got[2, 2][:2] == (60, 60) and (4, 1) in got and (3, 3) in got
+
+
+def test_seeds_induce_contexts_and_contexts_find_unseen_kinds(spark):
+    """Emails and phones make a context sure, the context a handle, the handle a label that is in no list, the label a kind never seen elsewhere."""
+    said = [f"please reach me under a{i}@b{i}.org today" for i in range(30)] + [f"please reach me under +49 30 12345{i} today" for i in range(10, 20)]
+    said += [f"please reach me under kx-99{i} today" for i in range(10, 20)] + [f"Kundenausweisverlängerungsnummer: kx-99{i}" for i in range(10, 20)]
+    said += [f"Kundenausweisverlängerungsnummer: zq{i}-{i}77" for i in range(10, 16)] + [f"built with release v2.{i}.100 today" for i in range(30)] + [f"Order: 2024{i}" for i in range(10, 40)]
+    df = spark.createDataFrame([(i, t, "s", 1, "k") for i, t in enumerate(said)], DOCS)
+    label = "kundenausweisverlängerungsnummer: "
+    got = P.learn(df)
+    assert {"me under _", "under _ today", label} <= set(got) and not any(x.startswith(("order", "with release", "release")) for x in got)
+    assert label not in P.learn(df, rounds=0)  # without the graph's rounds it isn't found
+    assert label not in P.learn(df.where("NOT (text LIKE '%@%' OR text LIKE '%+49%')"))  # nor without seeds
+    found = {r["doc_id"]: r["s"] for r in P.find(df).select("doc_id", P.listed(F.col("pii"), (*PATTERNS, "key")).alias("s")).collect()}
+    assert found[40] == "key:22:29" and found[50] == f"key:{len(label)}:{len(label) + 7}" and found[60] == f"key:{len(label)}:{len(label) + 9}" and found[5] == "email:22:31"
+    assert all(not found[i] for i in range(66, len(said)))
+
+
+def test_contexts_have_exact_offsets(spark):
+    rng = random.Random(21)
+    pieces = ["me under ", "é reach  ", " é ü ", "under", " ", "  ", "kx-99", "a1b2c3", "x@y.org", "+49 30 1234567", "4111 1111 1111 1111", "(", '"', ".", ",", "\n", "\U0001F600", "_", "year 2024"]
+    texts = ["", "a" * 50_000 + "1", "é1" * 20_000, "a b " * 20_000 + "123456", "a " + "1@" * 30_000, *("".join(rng.choices(pieces, k=rng.randrange(1, 40))) for _ in range(300))]
+    df = spark.createDataFrame([(i, t, "s", 1, "k") for i, t in enumerate(texts)], DOCS)
+    n = 0
+    for r in df.select("text", P.contexts(F.col("text")).alias("c")).collect():
+        for c in r["c"]:
+            n += 1
+            assert r["text"][c["start"] : c["end"]] == c["value"] and len(c["value"]) >= 6 and c["left"].endswith("_") and "_ " in c["around"]
+    assert n > 30
+
+
+def test_pii_of_odd_tables(spark):
+    df = spark.createDataFrame([(None, "mail a@b.co", 1, "x"), (1, None, 2, None), (1, None, 2, None), (2, "", None, "y")], "doc_id long, text string, pattern int, value string")
+    rows = P.find(df).select("doc_id", "pattern", "value", P.listed(F.col("pii"), (*PATTERNS, "key")).alias("s")).collect()
+    assert len(rows) == 4 and {r["s"] for r in rows} == {"", "email:5:11"}
+    assert P.find(df.limit(0)).count() == 0
