@@ -29,23 +29,34 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return toks.select("id", "dl", F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
-def _times(tokens: str, term: str) -> Column:
+def _times(tokens: Column, term: str) -> Column:
     return F.size(F.filter(tokens, lambda x: x == term))
 
 
 def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """id, score of every document with a query term; a term that is given twice counts twice.
 
-    One pass: term frequencies are counted inside each row by array functions, so nothing is exploded;
-    document frequencies and the mean length are one aggregate of a few numbers.
+    Each row is tokenised once: length and term frequencies come out of one fold over its tokens, and the
+    one struct they make is all that is passed on. Texts without any of the terms add their length only.
+    Document frequencies and the mean length are one aggregate of a few numbers.
     """
     terms = query_tokens(query)
     distinct = list(dict.fromkeys(terms))
-    d = docs.select(F.col(id_col).alias("id"), tokenise(F.col(text_col)).alias("__t")).select("id", F.size("__t").alias("dl"), *(_times("__t", t).alias(f"tf{i}") for i, t in enumerate(distinct)))
     if not distinct:
-        return d.select("id", F.lit(0.0).alias("score")).where("false")
-    stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(distinct))))
-    joined = d.where(sum((F.col(f"tf{i}") for i in range(len(distinct))), F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # stats is one row
+        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false")
+
+    def counted(tokens: Column) -> Column:
+        return F.struct(F.size(tokens).alias("dl"), *(_times(tokens, t).alias(f"tf{i}") for i, t in enumerate(distinct)))
+
+    # A generator of one row: what it makes is computed once and not copied into each expression that reads it.
+    once = F.explode(F.transform(F.array(tokenise(F.col(text_col))), counted)).alias("c")
+    d = docs.select(F.col(id_col).alias("id"), once).select("id", "c.*")
+    stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))))
+    # Only texts that contain a term as letters can hold it as a token: the others are not tokenised again.
+    lowered = F.lower(F.col(text_col))
+    maybe = docs.where(F.greatest(*(lowered.contains(t) for t in distinct)) if len(distinct) > 1 else lowered.contains(distinct[0]))
+    hit = maybe.select(F.col(id_col).alias("id"), once).select("id", "c.*").where(sum((F.col(f"tf{i}") for i in range(1, len(distinct))), F.col("tf0")) > 0)
+    joined = hit.crossJoin(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)
     for i, t in enumerate(distinct):
         idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5) + 1)

@@ -17,6 +17,7 @@ from ..functions import text as T
 from ..functions import vector as V
 from ..operators import search as S
 from ..operators import sketches as K
+from ..streaming import log as L
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 
@@ -117,20 +118,6 @@ _SHARED: dict[str, str] = {
     # scalar functions
     "fn_string": "SELECT c_custkey, length(c_name) AS n, upper(c_mktsegment) AS u, lower(c_name) AS l, coalesce(c_name, '') AS c FROM {customer}",
     "fn_math": "SELECT c_custkey, abs(c_acctbal) AS a, greatest(c_acctbal, 0, c_custkey) AS g, least(c_acctbal, c_custkey) AS s FROM {customer}",
-    # what DML leaves behind
-    "delete_where": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM {orders} WHERE NOT coalesce(o_orderstatus = 'F' AND o_totalprice < 50000, false)",
-    "update_set": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_totalprice + 10 ELSE o_totalprice END AS o_totalprice FROM {orders}",
-    "insert_default": "SELECT r_regionkey, r_name, 'none' AS note FROM {region} UNION ALL SELECT 99, 'ATLANTIS', 'new'",
-    "alter_add_drop": "SELECT n_nationkey AS nation_id, n_name, CAST(NULL AS STRING) AS extra FROM {nation}",
-    "fk_cascade": "SELECT o_orderkey, o_custkey FROM {orders} WHERE o_custkey NOT IN (SELECT c_custkey FROM {customer} WHERE c_nationkey = 3)",
-    "fk_set_null": "SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_nationkey = 3) THEN NULL ELSE o_custkey END AS o_custkey FROM {orders}",
-    "truncate": "SELECT r_regionkey FROM {region} WHERE false",
-    "mvcc_visible": """SELECT k, v FROM (SELECT event_id % 500 AS k, value AS v, event_id AS created, lead(event_id) OVER (PARTITION BY event_id % 500 ORDER BY event_id) AS deleted FROM {events}) x
-        WHERE created <= 5000 AND (deleted IS NULL OR deleted > 5000)""",
-    "pitr_as_of": """SELECT user_id, event_id, value FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM {events} WHERE event_id <= 6000) x WHERE r = 1""",
-    "column_sum_as_of": "SELECT round(sum(value), 4) AS s, count(value) AS n FROM {events} WHERE event_id <= 4100",
-    "wal_apply_dedup": "SELECT event_id AS lsn, event_type FROM (SELECT event_id, event_type FROM {events} UNION SELECT event_id, event_type FROM {events} WHERE event_id % 3 = 0) x",
-    "schema_columns": "SELECT count(*) AS n FROM {nation} WHERE n_name IS NOT NULL AND n_nationkey IS NOT NULL",
 }
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -185,9 +172,9 @@ def _json_missing(spark, d):
     return table(spark, d, "events").where(J.get_text(F.col("props"), "zz", "y").isNull()).agg(F.count("*").alias("n"))
 
 
-@_query("json_arrow", "SELECT event_id, CAST(props -> '$.k' AS VARCHAR) AS k FROM events WHERE event_id < 500")
+@_query("json_arrow", "SELECT event_id, CAST(props -> '$.k' AS VARCHAR) AS k FROM events")
 def _json_arrow(spark, d):
-    return table(spark, d, "events").where("event_id < 500").select("event_id", J.get(F.col("props"), "k").alias("k"))
+    return table(spark, d, "events").select("event_id", J.get(F.col("props"), "k").alias("k"))
 
 
 @_query("json_key_exists", "SELECT count(*) AS n FROM events WHERE list_contains(json_keys(props), 'k')")
@@ -200,9 +187,12 @@ def _json_contains(spark, d):
     return table(spark, d, "events").where(J.contains(F.col("props"), '{"k": 5}')).select("event_id")
 
 
-@_query("json_array_length", "SELECT event_id, CAST(NULL AS INT) AS n FROM events WHERE event_id < 100")
+_PAIR = "CASE event_type WHEN 'error' THEN '[]' WHEN 'click' THEN '[' || props || ']' ELSE '[' || props || ', [1, 2], ' || props || ']' END"
+
+
+@_query("json_array_length", f"SELECT event_id, CAST(json_array_length({_PAIR}) AS INT) AS n, CAST(NULL AS INT) AS of_object FROM events")
 def _json_len(spark, d):
-    return table(spark, d, "events").where("event_id < 100").select("event_id", J.array_length(F.col("props")).alias("n"))
+    return table(spark, d, "events").select("event_id", J.array_length(F.expr(_PAIR)).alias("n"), J.array_length(F.col("props")).alias("of_object"))
 
 
 @_query("json_valid", "SELECT count(*) AS n FROM events WHERE json_valid(props)")
@@ -450,6 +440,143 @@ def _parquet(spark, d):
     return copy_from_parquet(spark, at)
 
 
+# what statements leave behind: each runs in a session over a catalogue of its own
+def _db(spark, d, **tables: str):
+    """A session whose tables have the rows of the driver's tables of the same names."""
+    from ..session import Session
+    from ..sources.copying import scratch
+
+    db = Session(spark, scratch(spark, "db"))
+    for name, columns in tables.items():
+        db.execute(f"CREATE TABLE {name} ({columns})")
+        db.catalog.commit(name, table(spark, d, name))
+    return db
+
+
+_ORDERS = "o_orderkey BIGINT PRIMARY KEY, o_custkey BIGINT {}, o_orderstatus TEXT, o_totalprice DOUBLE CHECK (o_totalprice >= 0)"
+_CUSTOMER = "c_custkey BIGINT PRIMARY KEY, c_nationkey INT"
+
+
+@_query("delete_where", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE NOT coalesce(o_orderstatus = 'F' AND o_totalprice < 50000, false)")
+def _delete(spark, d):
+    db = _db(spark, d, orders=_ORDERS.format(""))
+    db.execute("DELETE FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 50000")
+    return db.sql("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+
+
+@_query("update_set", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_totalprice + 10 ELSE o_totalprice END AS o_totalprice FROM orders")
+def _update(spark, d):
+    db = _db(spark, d, orders=_ORDERS.format(""))
+    db.execute("UPDATE orders SET o_totalprice = o_totalprice + 10 WHERE o_orderstatus = 'O'")
+    return db.sql("SELECT o_orderkey, o_totalprice FROM orders")
+
+
+@_query("insert_default", "SELECT r_regionkey, r_name, 'none' AS note FROM region UNION ALL SELECT 99, 'ATLANTIS', 'new'")
+def _insert(spark, d):
+    db = _db(spark, d, region="r_regionkey INT, r_name TEXT")
+    db.execute("CREATE TABLE noted (r_regionkey INT PRIMARY KEY, r_name TEXT NOT NULL, note TEXT DEFAULT 'none')")
+    db.execute("INSERT INTO noted (r_regionkey, r_name) SELECT r_regionkey, r_name FROM region")
+    db.execute("INSERT INTO noted VALUES (99, 'ATLANTIS', 'new')")
+    return db.sql("SELECT CAST(r_regionkey AS INT) AS r_regionkey, r_name, note FROM noted")
+
+
+@_query("insert_identity", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS numbers, CAST(1 AS BIGINT) AS lo, CAST(count(*) AS BIGINT) AS hi FROM customer")
+def _identity(spark, d):
+    db = _db(spark, d, customer="c_custkey BIGINT, c_name TEXT")
+    db.execute("CREATE TABLE numbered (id INT GENERATED ALWAYS AS IDENTITY, c_custkey BIGINT)")
+    db.execute("INSERT INTO numbered (c_custkey) SELECT c_custkey FROM customer")
+    return db.sql("SELECT count(*) AS n, count(DISTINCT id) AS numbers, min(id) AS lo, max(id) AS hi FROM numbered")
+
+
+@_query("alter_add_drop", "SELECT n_nationkey AS nation_id, n_name, CAST(NULL AS VARCHAR) AS extra FROM nation")
+def _alter(spark, d):
+    db = _db(spark, d, nation="n_nationkey INT PRIMARY KEY, n_name TEXT UNIQUE, n_regionkey INT")
+    for change in ("ADD COLUMN extra TEXT", "RENAME COLUMN n_nationkey TO nation_id", "DROP COLUMN n_regionkey"):
+        db.execute(f"ALTER TABLE nation {change}")
+    return db.sql("SELECT CAST(nation_id AS INT) AS nation_id, n_name, extra FROM nation")
+
+
+@_query("fk_cascade", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def _fk_cascade(spark, d):
+    db = _db(spark, d, customer=_CUSTOMER, orders=_ORDERS.format("REFERENCES customer (c_custkey) ON DELETE CASCADE"))
+    db.execute("DELETE FROM customer WHERE c_nationkey = 3")
+    return db.sql("SELECT o_orderkey, o_custkey FROM orders")
+
+
+@_query("fk_set_null", "SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) THEN NULL ELSE o_custkey END AS o_custkey FROM orders")
+def _fk_set_null(spark, d):
+    db = _db(spark, d, customer=_CUSTOMER, orders=_ORDERS.format("REFERENCES customer (c_custkey) ON DELETE SET NULL"))
+    db.execute("DELETE FROM customer WHERE c_nationkey = 3")
+    return db.sql("SELECT o_orderkey, o_custkey FROM orders")
+
+
+@_query("fk_update_cascade", "SELECT o_orderkey, CASE WHEN c_nationkey = 3 THEN o_custkey + 1000000 ELSE o_custkey END AS o_custkey FROM orders JOIN customer ON o_custkey = c_custkey")
+def _fk_update(spark, d):
+    db = _db(spark, d, customer=_CUSTOMER, orders=_ORDERS.format("REFERENCES customer (c_custkey) ON UPDATE CASCADE"))
+    db.execute("UPDATE customer SET c_custkey = c_custkey + 1000000 WHERE c_nationkey = 3")
+    return db.sql("SELECT o_orderkey, o_custkey FROM orders")
+
+
+@_query("truncate", "SELECT r_regionkey FROM region WHERE false")
+def _truncate(spark, d):
+    db = _db(spark, d, region="r_regionkey INT, r_name TEXT")
+    db.execute("TRUNCATE TABLE region")
+    return db.sql("SELECT CAST(r_regionkey AS INT) AS r_regionkey FROM region")
+
+
+@_query("transaction", "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 0 ELSE s_acctbal END AS s_acctbal FROM supplier")
+def _transaction(spark, d):
+    db = _db(spark, d, supplier="s_suppkey BIGINT PRIMARY KEY, s_acctbal DOUBLE")
+    for statement in ("BEGIN", "DELETE FROM supplier", "ALTER TABLE supplier ADD COLUMN gone TEXT", "ROLLBACK", "BEGIN", "UPDATE supplier SET s_acctbal = 0 WHERE s_acctbal < 0", "COMMIT"):
+        db.execute(statement)
+    return db.sql("SELECT s_suppkey, s_acctbal FROM supplier")
+
+
+@_query("schema_columns", "SELECT column_name, CAST(ordinal_position AS INT) AS ordinal_position, CASE WHEN column_name = 'n_nationkey' THEN 'NO' ELSE 'YES' END AS is_nullable FROM information_schema.columns WHERE table_name = 'nation'")
+def _columns(spark, d):
+    db = _db(spark, d, nation="n_nationkey INT PRIMARY KEY, n_name TEXT, n_regionkey INT")
+    return db.sql("SELECT column_name, ordinal_position, is_nullable FROM information_schema.columns WHERE table_name = 'nation'")
+
+
+@_query("column_sum_as_of", "SELECT round(sum(value), 4) AS s, count(value) AS n FROM events WHERE event_id <= 4100")
+def _sum_as_of(spark, d):
+    db = _db(spark, d, events="event_id BIGINT, value DOUBLE")
+    db.execute("DELETE FROM events WHERE event_id > 4100")
+    lsn = db.catalog.manifest("events")["versions"][-1]["lsn"]
+    db.execute("INSERT INTO events VALUES (-1, 1000000)")
+    return db.as_of("events", lsn=lsn).agg(F.round(F.sum("value"), 4).alias("s"), F.count("value").alias("n"))
+
+
+@_query("mvcc_visible", """SELECT k, v FROM (SELECT event_id % 500 AS k, value AS v, event_id AS created, lead(event_id) OVER (PARTITION BY event_id % 500 ORDER BY event_id) AS deleted FROM events) x
+    WHERE created <= 5000 AND (deleted IS NULL OR deleted > 5000)""")
+def _mvcc(spark, d):
+    key = (F.col("event_id") % 500).alias("k")
+    rows = table(spark, d, "events").select(key, F.col("value").alias("v"), F.col("event_id").alias("created"), F.lead("event_id").over(Window.partitionBy(F.col("event_id") % 500).orderBy("event_id")).alias("deleted"))
+    return rows.where(L.visible(F.col("created"), F.col("deleted"), 5000)).select("k", "v")
+
+
+@_query("pitr_as_of", "SELECT user_id, event_id, value FROM (SELECT user_id, event_id, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id <= 6000) x WHERE r = 1 AND event_type <> 'error'")
+def _pitr(spark, d):
+    op = F.when(F.col("event_type") == "error", "delete").otherwise("update").alias("op")
+    return L.replay(table(spark, d, "events").select("user_id", "event_id", "value", op), "user_id", 6000, lsn="event_id").select("user_id", "event_id", "value")
+
+
+@_query("upsert_changes", "SELECT user_id, value FROM (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) x WHERE r = 1 AND event_type <> 'error' UNION ALL SELECT -1, 0.5")
+def _upsert(spark, d):
+    old = spark.sql("SELECT CAST(-1 AS BIGINT) AS user_id, 0.5D AS value UNION ALL SELECT CAST(0 AS BIGINT), -1D UNION ALL SELECT CAST(1 AS BIGINT), -1D")
+    changes = table(spark, d, "events").select("user_id", "value", F.col("event_id").alias("lsn"), F.when(F.col("event_type") == "error", "delete").otherwise("update").alias("op"))
+    return L.upsert(old, changes, "user_id")
+
+
+@_query("wal_apply_dedup", "SELECT event_id AS lsn, event_type AS text FROM events WHERE event_id > 50 AND event_id % 7 <> 0")
+def _wal(spark, d):
+    """Log lines, some sent again and some damaged, above a high-water mark."""
+    e = table(spark, d, "events")
+    right = F.concat_ws("\t", "event_id", F.lpad(F.lower(F.hex(F.crc32(F.col("event_type").cast("binary")))), 8, "0"), "event_type")
+    lines = e.select(F.when(F.col("event_id") % 7 == 0, F.concat(right, F.lit("x"))).otherwise(right).alias("value"))
+    return L.once(L.parse_log(lines.union(lines.where(F.xxhash64("value") % 3 == 0))), 50).select("lsn", "text")
+
+
 # windows over event time
 @_query("stream_tumbling", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _tumbling(spark, d):

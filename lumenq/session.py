@@ -1,12 +1,15 @@
 """A SQL session: the dialect over snapshot tables, with DML, constraints and transactions.
 
-Every write is a DataFrame plan over the table's last version and becomes a new version; inside a
-transaction versions are held as plans and published together by COMMIT.
+Every write is a DataFrame plan over the table's last version and becomes a new version: INSERT and COPY add files, other
+changes write the table anew. Inside a transaction rows are held as plans and definitions as manifests, and
+COMMIT publishes all of them at once, unless another session has changed one of these tables since it was first used.
 """
 
 from __future__ import annotations
 
+import copy
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,32 +82,68 @@ def _name(t: str) -> str:
 class Session:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.catalog = spark, Catalog(spark, root)
-        self.overlay: dict[str, DataFrame] | None = None
+        # Of a transaction: rows (all; and those to append, if nothing else happened), definitions, and the state that they build upon.
+        self.overlay: dict[str, tuple[DataFrame, DataFrame | None]] | None = None
+        self.ddl: dict[str, dict | None] = {}
+        self.base: dict[str, int] = {}
         self.prepared: dict[str, str] = {}
         spark.conf.set("spark.sql.cteRecursionLevelLimit", "1000")
 
     # tables
+    def _manifest(self, name: str) -> dict:
+        if name in self.ddl:
+            if self.ddl[name] is None:
+                raise CatalogError(f'relation "{name}" does not exist')
+            return copy.deepcopy(self.ddl[name])
+        m = self.catalog.manifest(name)
+        self.base.setdefault(name, self.catalog.changed(name))
+        return m
+
+    def _tables(self) -> list[str]:
+        return sorted({n for n in self.catalog.tables() if self.ddl.get(n, n) is not None} | {n for n, m in self.ddl.items() if m is not None})
+
     def table(self, name: str) -> DataFrame:
         if self.overlay is not None and name in self.overlay:
-            return self.overlay[name]
-        return self.catalog.read(name)
+            return self.overlay[name][0]
+        return self.catalog.frame(self._manifest(name))
 
     def as_of(self, name: str, lsn: int | None = None, timestamp: float | None = None) -> DataFrame:
         return self.catalog.read(name, lsn, timestamp)
 
-    def _write(self, changes: dict[str, DataFrame]) -> None:
-        for name in changes:
+    def _write(self, changes: dict[str, DataFrame], new: DataFrame | None = None, ddl: dict[str, dict | None] | None = None) -> None:
+        """Rows of tables (new: of the only one, those that are added) and definitions."""
+        ddl = ddl or {}
+        for name in {**changes, **ddl}:
             self.catalog.lock(name, self)
         if self.overlay is not None:
-            # Held as plans over immutable versions; temporary views are resolved when a plan is made.
-            self.overlay.update(changes)
+            for name, df in changes.items():
+                held = self.overlay.get(name)
+                only = new if held is None or new is None else held[1].unionByName(new) if held[1] is not None else None
+                self.overlay[name] = (df, only)
+            for name, m in ddl.items():
+                self.base.setdefault(name, self.catalog.changed(name))
+                self.ddl[name] = m
+                if m is None:
+                    self.overlay.pop(name, None)
             return
+        self._publish({n: (df, new) for n, df in changes.items()}, ddl)
+
+    def _publish(self, changes: dict[str, tuple[DataFrame, DataFrame | None]], ddl: dict[str, dict | None]) -> None:
+        out: dict[str, dict | None] = {}
         try:
-            lsn = self.catalog.next_lsn()
-            for name, df in changes.items():
-                self.catalog.commit(name, df, lsn)
+            for name in {**changes, **ddl}:
+                m = ddl[name] if name in ddl else self.catalog.manifest(name)
+                if m is not None and name in changes:
+                    every, new = changes[name]
+                    m = self.catalog.with_version(name, m, every if new is None else new, append=new is not None)
+                out[name] = m
+            if out:
+                self.catalog.publish(out, {n: self.base.get(n, self.catalog.changed(n)) for n in out})
         finally:
             self.catalog.unlock(self)
+        for name, m in out.items():
+            if m is None:
+                self.catalog.forget(name)
 
     # statements
     def sql(self, sql: str, params: list | None = None) -> DataFrame | None:
@@ -120,18 +159,20 @@ class Session:
     def execute_prepared(self, name: str, params: list | None = None) -> Result:
         return self.execute(self.prepared[name], params)
 
-    def execute(self, sql: str, params: list | None = None) -> Result:
+    def execute(self, sql: str, params: list | None = None, data: list[str] | None = None) -> Result:
         sql = sql.strip().rstrip(";")
         kind = fe.classify(sql)
         toks = fe.tokens(sql)
         if params and kind != "SELECT":
             toks = [self._literal(params[int(t[1:]) - 1]) if re.fullmatch(r"\$\d+", t) else t for t in toks]
+        if self.overlay is None:
+            self.base = {}
         run = getattr(self, "_do_" + kind.lower().replace(" ", "_"), None)
         if kind in ("SELECT", "SEARCH"):
             return Result("SELECT", self._select(sql, params))
         if run is None:
             raise fe.SqlError(f"{kind} is not supported")
-        return run(toks)
+        return run(toks, data) if kind == "COPY" else run(toks)
 
     @staticmethod
     def _literal(value) -> str:
@@ -155,21 +196,33 @@ class Session:
             view = f"information_schema_{m[1].lower()}"
             self.information(m[1].lower()).createOrReplaceTempView(view)
             sql = sql[: m.start()] + view + sql[m.end() :]
-        if m := re.search(r"\b(\w+)\s+MATCH\s+'((?:[^']|'')*)'\s+TOP\s+(\d+)\s*$", sql, re.I):
-            t = self.table(_name(re.search(r"\bFROM\s+(\w+)", sql, re.I)[1]))
-            best = S.top(S.bm25(t, m[2].replace("''", "'"), t.columns[0], m[1].lower()), int(m[3])).toDF("__id", "match_score")
-            return t.join(best, F.expr(f"`{t.columns[0]}` = __id")).select(*t.columns, "match_score").orderBy(F.desc("match_score"), t.columns[0])
+        if m := re.search(r"\b(\w+)\s+MATCH\s+'((?:[^']|'')*)'\s+TOP\s+(\d+)\b", sql, re.I):
+            sql = self._match(sql, m)
         named = self._frames(sql)
         args = {f"p{i + 1}": v for i, v in enumerate(params or [])}
         for name, df in named.items():
             df.createOrReplaceTempView(name)
         return self.spark.sql(fe.rewrite(sql), args=args or None)
 
+    def _match(self, sql: str, m: re.Match) -> str:
+        """col MATCH 'terms' TOP k: the rest of the query over the rows that match, with their match_score; the k best of what it leaves."""
+        before, after = sql[: m.start()], sql[m.end() :]
+        source = re.search(r"\bFROM\s+(\w+)(?:\s+(?:AS\s+)?(?!WHERE\b)(\w+))?\s+WHERE\b", before, re.I)
+        rest = [t.upper() for t in fe.tokens(after)]
+        if not source or {"GROUP", "UNION", "INTERSECT", "EXCEPT", "LIMIT", "MATCH", "HAVING"} & set(rest) or re.search(r"\bFROM\b", before[: source.start()], re.I):
+            raise fe.SqlError("MATCH .. TOP needs SELECT .. FROM one table WHERE .., without GROUP BY, set operations or LIMIT")
+        t = self.table(_name(source[1]))
+        row = F.struct(*(F.col(f"`{c}`") for c in t.columns))
+        view = f"__match_{_name(source[1])}"
+        S.bm25(t.select(row.alias("row"), F.col(f"`{_name(m[1])}`").alias("text")), m[2].replace("''", "'"), "row", "text").select("id.*", F.col("score").alias("match_score")).createOrReplaceTempView(view)
+        order = "" if "ORDER" in rest else f" ORDER BY match_score DESC, `{t.columns[0]}`"
+        return f"{before[: source.start(1)]}{view} AS {source[2] or source[1]} WHERE {before[source.end() :]}match_score IS NOT NULL{after}{order} LIMIT {m[3]}"
+
     def information(self, what: str) -> DataFrame:
         """Rows of information_schema's tables."""
         rows, kinds = [], {"tables": "table_name string, table_type string", "columns": "table_name string, column_name string, ordinal_position int, data_type string, is_nullable string", "statistics": "table_name string, index_name string, column_name string", "key_column_usage": "table_name string, column_name string, constraint_type string", "table_constraints": "table_name string, constraint_type string, columns string"}
-        for t in self.catalog.tables():
-            m = self.catalog.manifest(t)
+        for t in self._tables():
+            m = self._manifest(t)
             c = m["constraints"]
             keys = [("PRIMARY KEY", c.get("primary") or [])] + [("UNIQUE", u) for u in c.get("unique", []) if u != c.get("primary")] + [("FOREIGN KEY", f["cols"]) for f in c.get("fks", [])]
             keys = [(k, cols) for k, cols in keys if cols]
@@ -197,14 +250,16 @@ class Session:
 
     def _frames(self, sql: str) -> dict[str, DataFrame]:
         words = {_name(t) for t in fe.tokens(sql) if re.fullmatch(r"[A-Za-z_]\w*|\"[^\"]+\"", t)}
-        return {n: self.table(n) for n in self.catalog.tables() if n in words}
+        return {n: self.table(n) for n in self._tables() if n in words}
 
     # DDL
     def _do_create_table(self, toks):
         k = 2 + 3 * (len(toks) > 4 and [t.upper() for t in toks[2:5]] == ["IF", "NOT", "EXISTS"])
         name = _name(toks[k])
-        if k > 2 and self.catalog.exists(name):
-            return Result("CREATE TABLE")
+        if name in self._tables():
+            if k > 2:
+                return Result("CREATE TABLE")
+            raise CatalogError(f'relation "{name}" already exists')
         body, _ = _group(toks, k + 1)
         fields, c = [], {"not_null": [], "unique": [], "checks": [], "default": {}, "fks": [], "identity": {}, "kinds": {}, "primary": []}
         for part in _split(body):
@@ -225,7 +280,7 @@ class Session:
                 fields.append(self._column(part, c))
         if c["primary"]:
             c["unique"].append(c["primary"])
-        self.catalog.create(name, StructType(fields), c)
+        self._write({}, ddl={name: self.catalog.fresh(StructType(fields), c)})
         return Result("CREATE TABLE")
 
     def _column(self, part: list[str], c: dict) -> StructField:
@@ -312,8 +367,9 @@ class Session:
         if not rest:
             raise fe.SqlError("DROP TABLE needs a name")
         name = _name(rest[0])
-        if not soft or self.catalog.exists(name):
-            self.catalog.drop(name)
+        if not soft or name in self._tables():
+            self._manifest(name)
+            self._write({}, ddl={name: None})
         return Result("DROP TABLE")
 
     def _do_truncate(self, toks):
@@ -323,9 +379,9 @@ class Session:
 
     def _do_alter_table(self, toks):
         name, up = _name(toks[2]), [t.upper() for t in toks]
-        m = self.catalog.manifest(name)
+        m = self._manifest(name)
         schema, df = StructType.fromJson(m["schema"]), self.table(name)
-        fields = list(schema)
+        fields, others = list(schema), {}
         at = 4 + (len(up) > 4 and up[4] == "COLUMN")
         if up[3] == "ADD":
             f = self._column(toks[at:], m["constraints"])
@@ -337,9 +393,13 @@ class Session:
                 raise CatalogError("a table keeps its last column")
             if gone not in schema.names:
                 raise CatalogError(f'column "{gone}" does not exist')
+            self._without(name, m, gone)
             df, fields = df.drop(gone), [f for f in fields if f.name != gone]
         elif up[3] == "RENAME":
             old, new = _name(toks[at]), _name(toks[at + 2])
+            if old not in schema.names or new in schema.names:
+                raise CatalogError(f'column "{old}" does not exist, or "{new}" does')
+            others = self._renamed(name, m, old, new)
             df, fields = df.withColumnRenamed(old, new), [StructField(new, f.dataType) if f.name == old else f for f in fields]
         elif up[3] == "ALTER":
             col, kind = _name(toks[at]), _TYPES[toks[_find(toks, "TYPE") + 1].upper()]
@@ -347,10 +407,53 @@ class Session:
         else:
             raise fe.SqlError("ADD, DROP, RENAME or ALTER")
         m["schema"] = StructType(fields).jsonValue()
-        self.catalog.put(name, m)
-        self._write({name: df})
+        if up[3] in ("ADD", "ALTER"):
+            self._check(name, m, df)
+        self._write({name: df}, ddl={**others, name: m})
         return Result("ALTER TABLE")
 
+    def _without(self, name: str, m: dict, gone: str) -> None:
+        """Takes a column out of a definition, with the constraints and indexes that need it; other tables' foreign keys forbid it."""
+        for child in self._tables():
+            if any(fk["parent"] == name and gone in fk["refs"] for fk in self._manifest(child)["constraints"].get("fks", ())):
+                raise ConstraintError(f'"{child}" refers to column "{gone}"')
+        c = m["constraints"]
+        c["not_null"] = [x for x in c["not_null"] if x != gone]
+        c["unique"] = [u for u in c["unique"] if gone not in u]
+        c["primary"] = [] if gone in c["primary"] else c["primary"]
+        c["fks"] = [fk for fk in c["fks"] if gone not in fk["cols"]]
+        c["checks"] = [x for x in c["checks"] if gone not in map(_name, fe.tokens(x))]
+        for part in ("default", "identity", "kinds"):
+            c[part].pop(gone, None)
+        m["indexes"] = {n: x for n, x in m["indexes"].items() if gone not in x["columns"]}
+
+    def _renamed(self, name: str, m: dict, old: str, new: str) -> dict[str, dict]:
+        """Renames a column throughout a definition; the definitions of other tables that refer to it."""
+        named = lambda cols: [new if x == old else x for x in cols]
+        c = m["constraints"]
+        for part in ("not_null", "primary"):
+            c[part] = named(c[part])
+        c["unique"] = [named(u) for u in c["unique"]]
+        c["checks"] = [" ".join(new if _name(t) == old and not t.startswith("'") else t for t in fe.tokens(x)) for x in c["checks"]]
+        for fk in c["fks"]:
+            fk["cols"] = named(fk["cols"])
+            fk["refs"] = named(fk["refs"]) if fk["parent"] == name else fk["refs"]
+        if old in c["identity"]:
+            self.catalog.advance(name, new, least=self.catalog.sequence(name, old))
+        for part in ("default", "identity", "kinds"):
+            c[part] = {new if k == old else k: v for k, v in c[part].items()}
+        for x in m["indexes"].values():
+            x["columns"] = named(x["columns"])
+        others = {}
+        for child in self._tables():
+            held = self._manifest(child)
+            keys = [fk for fk in held["constraints"].get("fks", ()) if fk["parent"] == name and old in fk["refs"]]
+            if child != name and keys:
+                for fk in keys:
+                    fk["refs"] = named(fk["refs"])
+                others[child] = held
+        return others
+
     def _do_create_index(self, toks):
         """Indexes are kept as metadata: results are the same with and without them, and pruning is the scan's."""
         unique = toks[1].upper() == "UNIQUE"
@@ -368,23 +471,23 @@ class Session:
         if any(t in ("->", "->>", "#>", "#>>") for t in inner):
             raise fe.SqlError("an index on a JSONB expression is not supported")
         cols = [_name(p[0]) for p in _split(inner)]
-        m = self.catalog.manifest(table)
+        m = self._manifest(table)
         if unique:
             m["constraints"]["unique"].append(cols)
             self._check(table, m, self.table(table), only_unique=True)
         m["indexes"][name] = {"columns": cols, "method": method, "unique": unique}
-        self.catalog.put(table, m)
+        self._write({}, ddl={table: m})
         return Result("CREATE INDEX")
 
     def _do_drop_index(self, toks):
         name = _name(toks[-1])
-        for t in self.catalog.tables():
-            m = self.catalog.manifest(t)
+        for t in self._tables():
+            m = self._manifest(t)
             if name in m["indexes"]:
                 gone = m["indexes"].pop(name)
                 if gone["unique"] and gone["columns"] in m["constraints"]["unique"]:
                     m["constraints"]["unique"].remove(gone["columns"])
-                self.catalog.put(t, m)
+                self._write({}, ddl={t: m})
                 return Result("DROP INDEX")
         raise CatalogError(f'index "{name}" does not exist')
 
@@ -397,7 +500,7 @@ class Session:
     # DML
     def _do_insert(self, toks):
         name = _name(toks[2])
-        m = self.catalog.manifest(name)
+        m = self._manifest(name)
         schema, c = StructType.fromJson(m["schema"]), m["constraints"]
         at, cols = 3, list(schema.names)
         given = False
@@ -422,11 +525,22 @@ class Session:
                 raise fe.SqlError("DEFAULT must stand in the same columns of each row")
             cols = [x for k, x in enumerate(cols) if k not in marks[0]]
             text = ", ".join("(" + ", ".join(self._value(x, schema[cols_all].dataType) for k, (x, cols_all) in enumerate(zip(r, schema.names if not given else self._named(toks), strict=False)) if k not in marks[0]) + ")" for r in rows)
-            new = self.spark.sql(f"SELECT *, row_number() OVER (ORDER BY __n) AS __o FROM (SELECT *, monotonically_increasing_id() AS __n FROM VALUES {text} AS v({', '.join(f'`{x}`' for x in cols)}))").drop("__n")
+            new = self.spark.sql(f"SELECT * FROM VALUES {text} AS v({', '.join(f'`{x}`' for x in cols)})")
+            many = False
         else:
             got = self._select(" ".join(toks[at:]))
-            new = got.toDF(*cols[: len(got.columns)]).withColumn("__o", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+            if len(got.columns) > len(cols):
+                raise fe.SqlError("INSERT has more or fewer expressions than columns")
             cols = cols[: len(got.columns)]
+            new, many = got.toDF(*cols), True
+        return Result(f"INSERT 0 {self._add(name, m, new, cols, over[:1] == ['OVERRIDING'], many)}")
+
+    def _add(self, name: str, m: dict, new: DataFrame, cols: list[str], overriding: bool = False, many: bool = True) -> int:
+        """Appends rows that have some columns: values are coerced, the others come from defaults and sequences. The number of rows."""
+        schema, c = StructType.fromJson(m["schema"]), m["constraints"]
+        numbered = [col for col in c["identity"] if col not in cols]
+        if numbered:
+            new = self._numbered(new) if many else new.withColumn("__o", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))  # VALUES: rows of a statement's text
         out = {}
         for f in schema:
             if f.name in cols:
@@ -436,27 +550,32 @@ class Session:
             else:
                 out[f.name] = F.lit(None).cast(f.dataType)
         # numbers from sequences; these advance whatever becomes of the statement
-        count = None
+        count = new.count() if numbered else None
         for col, kind in c["identity"].items():
-            explicit = col in cols
-            if kind == "always" and explicit and over[:1] != ["OVERRIDING"]:
+            if kind == "always" and col in cols and not overriding:
                 raise ConstraintError(f'column "{col}" is GENERATED ALWAYS')
-            now = self.catalog.sequence(name, col)
-            if not explicit:
-                count = new.count() if count is None else count
+            if col in numbered:
+                now = self.catalog.advance(name, col, count)
                 out[col] = (F.lit(now) + F.col("__o")).cast("long")
-                self.catalog.set_sequence(name, col, now + count)
                 if kind == "serial" and now + count > 2**31 - 1:
                     raise ConstraintError("sequence is exhausted")
             elif kind == "primary":
-                top = new.agg(F.max(F.col(f"`{col}`").cast("long"))).first()[0]
-                self.catalog.set_sequence(name, col, max(now, top or 0))
+                self.catalog.advance(name, col, least=new.agg(F.max(F.col(f"`{col}`").cast("long"))).first()[0] or 0)
         new = new.select(*(e.alias(n) for n, e in out.items()))
         n = new.count()
         every = self.table(name).unionByName(new)
         self._check(name, m, every, new)
-        self._write({name: every})
-        return Result(f"INSERT 0 {n}")
+        self._write({name: every}, new)
+        return n
+
+    def _numbered(self, df: DataFrame) -> DataFrame:
+        """Rows with numbers from 1 (``__o``): places within tasks, and the sums of the tasks before; no task holds them all."""
+        at = f"{self.catalog.root}/_tmp/{uuid.uuid4().hex}"
+        df.withColumn("__m", F.monotonically_increasing_id()).write.parquet(at)
+        got = self.spark.read.parquet(at).withColumn("__t", F.shiftright("__m", 33))
+        tasks = got.groupBy("__t").agg(F.count("*").alias("__k"))
+        before = tasks.select("__t", (F.sum("__k").over(Window.orderBy("__t")) - F.col("__k")).alias("__b"))  # a row for each task
+        return got.join(F.broadcast(before), "__t").withColumn("__o", F.col("__b") + (F.col("__m") - F.shiftleft("__t", 33)) + 1).drop("__t", "__m", "__b")
 
     def _named(self, toks: list[str]) -> list[str]:
         return [_name(p[0]) for p in _split(_group(toks, 3)[0])]
@@ -507,18 +626,19 @@ class Session:
         if toks[1].upper() != "FROM":
             raise fe.SqlError("expected FROM")
         name, where = self._target(toks, 2)
-        self.catalog.manifest(name)
+        self._manifest(name)
         flagged = self._filtered(name, where)
         gone = flagged.where("__hit").drop("__hit")
         n = gone.count()
         changes = {name: flagged.where("NOT __hit").drop("__hit")}
-        self._cascade(name, gone, None, changes, "delete")
+        self._deleted(name, gone, changes)
+        self._check_others(name, changes)
         self._write(changes)
         return Result(f"DELETE {n}")
 
     def _do_update(self, toks):
         name, where = self._target(toks, 1)
-        m = self.catalog.manifest(name)
+        m = self._manifest(name)
         schema = StructType.fromJson(m["schema"])
         sets = {}
         for part in _split(toks[_find(toks, "SET") + 1 : _find(toks, "WHERE")]):
@@ -529,6 +649,9 @@ class Session:
             raise CatalogError(f'column "{bad[0]}" does not exist')
         flagged = self._filtered(name, where)
         old = flagged.where("__hit").drop("__hit")
+        always = [x for x in sets if m["constraints"]["identity"].get(x) == "always"]
+        if always:
+            raise ConstraintError(f'column "{always[0]}" is GENERATED ALWAYS')
         exprs = []
         for f in schema:
             e = F.col(f"`{f.name}`")
@@ -537,44 +660,76 @@ class Session:
             exprs.append(e.alias(f.name))
         new = flagged.select(*exprs)
         n = old.count()
-        self._check(name, m, new)
         changes = {name: new}
-        self._cascade(name, old, sets, changes, "update", flagged)
+        pairs = flagged.where("__hit").select(*(F.col(f"`{f.name}`").alias(f"o_{f.name}") for f in schema), *(e.alias(f"n_{f.name}") for f, e in zip(schema, exprs, strict=True)))
+        self._updated(name, pairs, set(sets), changes)
+        self._check(name, m, changes[name], changes=changes)
+        self._check_others(name, changes)
         self._write(changes)
         return Result(f"UPDATE {n}")
 
-    def _cascade(self, parent: str, old: DataFrame, sets, changes: dict, event: str, flagged: DataFrame | None = None) -> None:
-        """Foreign keys that name the parent: their rows follow, lose the key, or forbid the change."""
-        for child in self.catalog.tables():
-            for fk in self.catalog.manifest(child)["constraints"].get("fks", ()):
-                if fk["parent"] != parent or event == "update" and not (set(fk["refs"]) & set(sets)):
-                    continue
-                keys = old.select(*(F.col(r).alias(f"__{c}") for c, r in zip(fk["cols"], fk["refs"], strict=True))).distinct()
-                rows = changes.get(child, self.table(child))
-                same = [F.col(c) == F.col(f"__{c}") for c in fk["cols"]]
-                hit = rows.join(keys, same, "left_semi")
-                action = fk[event]
-                if action in ("RESTRICT", "NO ACTION"):
-                    if hit.limit(1).count():
-                        raise ConstraintError(f'"{child}" still refers to "{parent}"')
-                    continue
-                rest = rows.join(keys, same, "left_anti")
-                if event == "delete" and action == "CASCADE":
-                    changes[child] = rest
-                    self._cascade(child, hit, None, changes, "delete")
-                    continue
-                default = self.catalog.manifest(child)["constraints"]["default"]
-                if action == "CASCADE":
-                    moved = hit.withColumns({f"__{r}": F.col(c) for c, r in zip(fk["cols"], fk["refs"], strict=True)})
-                    for c, r in zip(fk["cols"], fk["refs"], strict=True):
-                        if r in sets:
-                            moved = moved.withColumn(c, F.expr(re.sub(rf"\b{r}\b", f"`__{r}`", fe.rewrite(" ".join(sets[r])))).cast(rows.schema[c].dataType))
-                    moved = moved.select(*rows.columns)
-                else:
-                    moved = hit.withColumns({c: (F.expr(default[c]) if action == "SET DEFAULT" and c in default else F.lit(None)).cast(rows.schema[c].dataType) for c in fk["cols"]})
-                changes[child] = rest.unionByName(moved)
-
-    def _check(self, name: str, m: dict, every: DataFrame, new: DataFrame | None = None, only_unique: bool = False) -> None:
+    def _children(self, parent: str):
+        for child in self._tables():
+            for fk in self._manifest(child)["constraints"].get("fks", ()):
+                if fk["parent"] == parent:
+                    yield child, fk
+
+    def _replaced(self, child: str, fk: dict, rows: DataFrame, action: str) -> dict:
+        """What foreign key columns become where the parent's row goes or changes."""
+        default = self._manifest(child)["constraints"]["default"]
+        return {c: (F.expr(default[c]) if action == "SET DEFAULT" and c in default else F.lit(None)).cast(rows.schema[c].dataType) for c in fk["cols"]}
+
+    def _deleted(self, parent: str, gone: DataFrame, changes: dict) -> None:
+        """Foreign keys that name rows which go: their rows go too, lose the key, or forbid it."""
+        for child, fk in self._children(parent):
+            keys = gone.select(*(F.col(r).alias(f"__{c}") for c, r in zip(fk["cols"], fk["refs"], strict=True))).distinct()
+            rows = changes.get(child, self.table(child))
+            same = [F.col(c) == F.col(f"__{c}") for c in fk["cols"]]
+            hit, rest = rows.join(keys, same, "left_semi"), rows.join(keys, same, "left_anti")
+            action = fk["delete"]
+            if action in ("RESTRICT", "NO ACTION"):
+                if hit.limit(1).count():
+                    raise ConstraintError(f'"{child}" still refers to "{parent}"')
+            elif action == "CASCADE":
+                changes[child] = rest
+                # A table that refers to itself is followed until no row goes.
+                if child != parent or hit.limit(1).count():
+                    self._deleted(child, hit, changes)
+            else:
+                self._set(child, fk, rows, hit, keys, self._replaced(child, fk, rows, action), changes)
+
+    def _updated(self, parent: str, pairs: DataFrame, columns: set[str], changes: dict) -> None:
+        """Foreign keys that name rows whose key changes (pairs: old and new values, o_ and n_), through any number of tables."""
+        for child, fk in self._children(parent):
+            if not set(fk["refs"]) & columns:
+                continue
+            differ = " OR ".join(f"NOT (`o_{r}` <=> `n_{r}`)" for r in fk["refs"])
+            keys = pairs.where(differ).select(*(F.col(f"o_{r}").alias(f"__{c}") for c, r in zip(fk["cols"], fk["refs"], strict=True)), *(F.col(f"n_{r}").alias(f"__new_{c}") for c, r in zip(fk["cols"], fk["refs"], strict=True))).distinct()
+            rows = changes.get(child, self.table(child))
+            hit = rows.join(keys, [F.col(c) == F.col(f"__{c}") for c in fk["cols"]], "left_semi")
+            if not hit.limit(1).count():
+                continue
+            action = fk["update"]
+            if action in ("RESTRICT", "NO ACTION"):
+                raise ConstraintError(f'"{child}" still refers to "{parent}"')
+            to = {c: F.col(f"__new_{c}").cast(rows.schema[c].dataType) for c in fk["cols"]} if action == "CASCADE" else self._replaced(child, fk, rows, action)
+            self._set(child, fk, rows, hit, keys, to, changes)
+
+    def _set(self, child: str, fk: dict, rows: DataFrame, hit: DataFrame, keys: DataFrame, to: dict, changes: dict) -> None:
+        """Rows that meet keys get new foreign key columns, and what refers to these follows."""
+        joined = rows.join(keys, [F.col(c) == F.col(f"__{c}") for c in fk["cols"]], "left")
+        met = F.col(f"__{fk['cols'][0]}").isNotNull()
+        new = [(F.when(met, to[c]).otherwise(F.col(f"`{c}`")) if c in to else F.col(f"`{c}`")).alias(c) for c in rows.columns]
+        pairs = joined.where(met).select(*(F.col(f"`{c}`").alias(f"o_{c}") for c in rows.columns), *(e.alias(f"n_{c}") for c, e in zip(rows.columns, new, strict=True)))
+        changes[child] = joined.select(*new)
+        self._updated(child, pairs, set(to), changes)
+
+    def _check_others(self, name: str, changes: dict) -> None:
+        for child, df in changes.items():
+            if child != name:
+                self._check(child, self._manifest(child), df, changes=changes)
+
+    def _check(self, name: str, m: dict, every: DataFrame, new: DataFrame | None = None, only_unique: bool = False, changes: dict | None = None) -> None:
         """Raises where a constraint fails; row checks look at new rows only where these are known."""
         c = m["constraints"]
         rows = every if new is None else new
@@ -587,7 +742,7 @@ class Session:
             if first := rows.select(bad.alias("bad")).where("bad IS NOT NULL").first():
                 raise ConstraintError(first["bad"])
             for fk in c["fks"]:
-                parent = (every if fk["parent"] == name else self.table(fk["parent"])).select(*(F.col(r).alias(f"__{r}") for r in fk["refs"]))
+                parent = (every if fk["parent"] == name else changes[fk["parent"]] if changes and fk["parent"] in changes else self.table(fk["parent"])).select(*(F.col(r).alias(f"__{r}") for r in fk["refs"]))
                 some = rows.where(" AND ".join(f"`{x}` IS NOT NULL" for x in fk["cols"]))
                 if some.join(parent, [F.col(a) == F.col(f"__{b}") for a, b in zip(fk["cols"], fk["refs"], strict=True)], "left_anti").limit(1).count():
                     raise ConstraintError(f'no such key in "{fk["parent"]}"')
@@ -600,19 +755,18 @@ class Session:
     def _do_begin(self, toks):
         if self.overlay is not None:
             raise fe.SqlError("already in a transaction")
-        self.overlay = {}
+        self.overlay, self.ddl, self.base = {}, {}, {}
         return Result("BEGIN")
 
     def _do_commit(self, toks):
-        changes, self.overlay = self.overlay or {}, None
-        self._write(changes)
-        self.catalog.unlock(self)
+        changes, ddl, self.overlay, self.ddl = self.overlay or {}, self.ddl, None, {}
+        self._publish(changes, ddl)
         return Result("COMMIT")
 
     def _do_rollback(self, toks):
         if len(toks) > 1 and toks[1].upper() == "TO":
             raise fe.SqlError("SAVEPOINT is not supported")
-        self.overlay = None
+        self.overlay, self.ddl = None, {}
         self.catalog.unlock(self)
         return Result("ROLLBACK")
 
@@ -620,9 +774,9 @@ class Session:
     def _do_show(self, toks):
         what = toks[1].upper()
         if what == "TABLES":
-            return Result("SHOW", self.spark.createDataFrame([(t,) for t in self.catalog.tables()], "table_name string"))
+            return Result("SHOW", self.spark.createDataFrame([(t,) for t in self._tables()], "table_name string"))
         name = _name(toks[-1])
-        m = self.catalog.manifest(name)
+        m = self._manifest(name)
         if what == "COLUMNS":
             rows = [(f.name, m["constraints"]["kinds"].get(f.name, f.dataType.simpleString()), f.name not in m["constraints"]["not_null"]) for f in StructType.fromJson(m["schema"])]
             return Result("SHOW", self.spark.createDataFrame(rows, "column_name string, data_type string, is_nullable boolean"))
@@ -652,26 +806,35 @@ class Session:
         return Result("EXPLAIN", self.spark.createDataFrame([(f"workload: {fe.workload(sql)}",), *((x,) for x in plan.split("\n"))], "plan string"))
 
     def _do_vacuum(self, toks):
-        n = sum(self.catalog.expire(t) for t in ([_name(toks[1])] if len(toks) > 1 else self.catalog.tables()))
+        n = sum(self.catalog.expire(t) for t in ([_name(toks[1])] if len(toks) > 1 else self._tables()))
         return Result(f"VACUUM {n}")
 
     _do_checkpoint = _do_vacuum
 
-    def _do_copy(self, toks):
-        """COPY t FROM|TO 'path' [csv|jsonl|parquet]; exports stay under the catalogue's root."""
+    def _do_copy(self, toks, data=None):
+        """COPY t FROM|TO 'path' [csv|jsonl|parquet], or FROM STDIN with the lines given to execute; exports stay under the catalogue's root."""
         name, up = _name(toks[1]), [t.upper() for t in toks]
-        path = fe.text_of(toks[3])
-        form = next((x for x in ("CSV", "JSONL", "PARQUET") if x in up[4:]), path.rsplit(".", 1)[-1].upper())
         if up[2] == "TO":
+            path = fe.text_of(toks[3])
             copying.copy_to(self.table(name), path, "parquet", root=self.catalog.root)
             return Result("COPY")
-        m = self.catalog.manifest(name)
+        m = self._manifest(name)
         schema = StructType.fromJson(m["schema"])
+        if toks[3].upper() == "STDIN":
+            if data is None:
+                raise fe.SqlError("COPY .. FROM STDIN needs data")
+            new = copying.copy_from_stdin(self.spark, data, schema)
+            return Result(f"COPY {self._add(name, m, new, new.columns)}")
+        path = fe.text_of(toks[3])
+        form = next((x for x in ("CSV", "JSONL", "PARQUET") if x in up[4:]), path.rsplit(".", 1)[-1].upper())
         read = {"CSV": lambda: copying.copy_from_csv(self.spark, path, schema), "JSONL": lambda: copying.copy_from_jsonl(self.spark, path, schema), "PARQUET": lambda: copying.copy_from_parquet(self.spark, path)}[form]
         new = read()
-        new = new.select(*((F.col(f"`{f.name}`") if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
-        every = self.table(name).unionByName(new)
-        self._check(name, m, every, new)
-        n = new.count()
-        self._write({name: every})
-        return Result(f"COPY {n}")
+        # A column that the file doesn't have gets its default or its next number.
+        has = [f.name for f in schema if f.name in new.columns and (form == "PARQUET" or f.name in self._header(path, form, schema))]
+        return Result(f"COPY {self._add(name, m, new.select(*(f'`{c}`' for c in has)), has)}")
+
+    def _header(self, path: str, form: str, schema: StructType) -> set[str]:
+        """The columns that a text file names."""
+        if form == "CSV":
+            return set(self.spark.read.option("header", True).csv(path).columns)
+        return set(self.spark.read.json(path).columns)

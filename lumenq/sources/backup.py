@@ -24,16 +24,17 @@ def checksum(df: DataFrame) -> tuple[int, str]:
 
 
 def backup(catalog: Catalog, to: str, base: str | None = None) -> dict:
-    """Writes a backup; with base (another backup's folder) only rows that are new and rows that are gone."""
+    """Writes a backup; with base (another backup's folder) only rows that are new and rows that are gone, where the catalogue still has the base's version with the same columns, and whole tables otherwise."""
     known = json.loads(catalog.files.read(f"{base}/backup.json") or "{}") if base else {}
     out = {"time": time.time(), "base": base, "tables": {}}
     for name in catalog.tables():
         m = catalog.manifest(name)
         lsn = m["versions"][-1]["lsn"]
         then = known.get("tables", {}).get(name)
+        changed = diff_backup(catalog, name, then["lsn"]) if then else None
         info = {"lsn": lsn, "manifest": {k: m[k] for k in ("schema", "constraints", "indexes")}}
-        if then:
-            new, gone = diff_backup(catalog, name, then["lsn"])
+        if changed:
+            new, gone = changed
             new.write.parquet(f"{to}/{name}/new")
             gone.write.parquet(f"{to}/{name}/gone")
             info["parts"] = {p: checksum(catalog.spark.read.parquet(f"{to}/{name}/{p}")) for p in ("new", "gone")}

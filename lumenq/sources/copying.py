@@ -18,8 +18,13 @@ class CopyError(ValueError):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share (under spark.checkpoint.dir; a local one where that is unset, as in tests)."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    """A new folder that driver and executors share, under spark.checkpoint.dir; where that is unset, a local one on a local master, as in tests, and else an error."""
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not top:
+        if not sc.master.startswith("local"):
+            raise CopyError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.gettempdir()
     return f"{top.rstrip('/')}/lumenq-{name}-{uuid.uuid4().hex}"
 
 

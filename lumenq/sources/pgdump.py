@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..frontend import statements
@@ -58,13 +57,10 @@ def import_dump(session: Session, script: str) -> Report:
 
 
 def _copy(session: Session, name: str, columns: str | None, data: str) -> int:
-    m = session.catalog.manifest(name)
+    m = session._manifest(name)
     schema = StructType.fromJson(m["schema"])
     cols = [c.strip().strip('"') for c in columns.split(",")] if columns else schema.names
     lines = [x for x in data.split("\n") if x != ""]
     got = copy_from_stdin(session.spark, lines, StructType([schema[c] for c in cols]))
-    new = got.select(*((F.col(f"`{f.name}`") if f.name in cols else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
-    every = session.table(name).unionByName(new)
-    session._check(name, m, every, new)
-    session._write({name: every})
+    session._add(name, m, got, cols)
     return len(lines)
