@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage
+from ._common import discard, stage
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -20,16 +20,20 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     labels = graph.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
     for _ in range(rounds):
         roots = stage(graph.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("low")), "roots")
-        for _ in range(rounds):
+        while True:
             follow = roots.select(F.col("a").alias("low"), F.col("low").alias("next"))
-            roots = stage(roots.join(follow, "low").select("a", "next", (F.col("next") < F.col("low")).alias("moved")), "roots")
-            moved = roots.where("moved").limit(1).count()
-            roots = roots.select("a", F.col("next").alias("low"))
-            if not moved:
+            further = stage(roots.select("a", "low").join(follow, "low").select("a", F.col("next").alias("low"), (F.col("next") < F.col("low")).alias("moved")), "roots")
+            discard(roots)
+            roots = further
+            if not roots.where("moved").limit(1).count():
                 break
-        labels = stage(labels.join(roots.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("low", "label").alias("label")), "labels")
-        ends = graph.join(roots.withColumnRenamed("low", "x"), "a").join(roots.select(F.col("a").alias("b"), F.col("low").alias("y")), "b")
-        graph = stage(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        low = roots.select("a", "low")
+        told = stage(labels.join(low.withColumnRenamed("a", "label"), "label", "left").select("node", F.coalesce("low", "label").alias("label")), "labels")
+        ends = graph.join(low.withColumnRenamed("low", "x"), "a").join(low.select(F.col("a").alias("b"), F.col("low").alias("y")), "b")
+        rest = stage(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        discard(graph, labels, roots)
+        graph, labels = rest, told
         if not graph.limit(1).count():
+            discard(graph)
             return labels
     raise RuntimeError(f"the graph isn't contracted after {rounds} rounds")

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage, table
+from ._common import discard, stage, table
 
 ROUNDS, MIN_CONFIDENCE, MIN_SUPPORT = 4, 0.5, 3
 #: So many patterns are written into the plan, if they have no more characters than MOST_CHARS in all; more are joined.
@@ -208,8 +208,10 @@ def patterns_of(documents: DataFrame, rounds: int = ROUNDS, min_confidence: floa
         other = (F.col("all_sure") - F.col("sure")) / (F.col("all_n") - n)
         # As much as the value says beyond its make-up, which the base holds.
         more = sure.join(score, "instance").groupBy("pattern").agg(F.sum(rest * F.greatest(other - F.col("prior"), F.lit(0.0))).alias("more"))
-        patterns = patterns.join(more, "pattern", "left").select("pattern", "base", "support", ((F.col("base") + F.coalesce("more", F.lit(0.0))) / (F.col("support") + 1)).alias("confidence"))
-        patterns = stage(patterns, "pii-patterns")
+        further = patterns.join(more, "pattern", "left").select("pattern", "base", "support", ((F.col("base") + F.coalesce("more", F.lit(0.0))) / (F.col("support") + 1)).alias("confidence"))
+        further = stage(further, "pii-patterns")
+        discard(patterns)
+        patterns = further
     return patterns.drop("base").where(F.col("confidence") >= min_confidence)
 
 
