@@ -1,20 +1,26 @@
 """Chat formatting by a compiled template.
 
 A template is text with ``{{ expression }}`` and ``{% statement %}``. Statements: one top-level
-``for message in messages`` loop, ``if``/``elif``/``else``/``endif``, and ``generation``/``endgeneration``
-around what is trained on. Expressions: string literals, ``message.role``, ``message.text``, ``+``, ``==``,
-``!=``, ``and``, ``or``, ``not``, parentheses, and the filters ``escape``, ``trim`` and ``upper``. There is nothing
+``for message in messages`` loop, ``if``/``elif``/``else``/``endif``, ``set name = expression``, and
+``generation``/``endgeneration`` around what is trained on. Expressions: string literals, numbers, ``true``, ``false``,
+``message.role``, ``message.text`` (also ``message['role']``), in the loop ``loop.first``, ``loop.last``, ``loop.index`` and
+``loop.index0``, names that were set, ``+``, ``==``, ``!=``, ``and``, ``or``, ``not``, parentheses, slices
+(``message.text[2:-1]``), and the filters ``escape``, ``line``, ``trim``, ``upper``, ``lower`` and ``text``. A name is known
+in the message (or the part before or after the loop) that sets it. There is nothing
 else: no calls, attributes or names besides, so that a template can't reach Python. It is parsed into a
 syntax tree, constants are folded (branches that can't be taken go, neighbouring texts join), and what is
 left becomes Python closures that write into a sink.
 
 ``escape`` makes control strings in texts harmless and reversible: ``\\`` becomes ``\\\\`` and ``<|``
-becomes ``<\\|``, so that ``<|`` in the output is always the template's own.
+becomes ``<\\|``, so that ``<|`` in the output is always the template's own. ``line`` also makes line breaks
+``\\n`` and ``\\r``, for what must stay on its line, such as a role.
 
 As the loop's body sees one message at a time, conversations are rendered turn by turn
-(:func:`format_turns`): no task ever holds a conversation, however long. Null texts and roles count as
+(:func:`format_turns`): no task ever holds a conversation, however long. What stands before and after the loop is
+rendered with the first and the last turn. Null texts and roles count as
 empty; a null turn comes first; equal turns are ordered by role and text; repeated rows are turns of
-their own; other columns are dropped.
+their own; rows without a conv_id are one conversation; very long texts are single strings; an empty table
+gives no rows; other columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -24,14 +30,14 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import table
 
 CHATML = (
     "{% for message in messages %}"
-    "{{ '<|im_start|>' + (message.role | escape) + '\n' }}"
+    "{{ '<|im_start|>' + (message.role | line) + '\n' }}"
     "{% if message.role == 'assistant' %}{% generation %}{{ message.text | escape }}{% endgeneration %}{% else %}{{ message.text | escape }}{% endif %}"
     "{{ '<|im_end|>' + '\n' }}"
     "{% endfor %}"
@@ -52,6 +58,17 @@ class Field:
     name: str
 
 
+@dataclass(frozen=True)
+class Name:
+    name: str
+
+
+@dataclass(frozen=True)
+class Let:
+    name: str
+    value: object
+
+
 @dataclass(frozen=True)
 class Op:
     name: str
@@ -80,25 +97,31 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.S)
+    return re.sub(r"\\(.)", lambda m: {"n": "\n", "r": "\r"}.get(m[1], m[1]), text, flags=re.S)
 
 
-_FILTERS = {"escape": escape, "trim": str.strip, "upper": str.upper}
-_OPS = {"+": lambda a, b: a + b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "and": lambda a, b: a and b, "or": lambda a, b: a or b, "not": lambda a: not a}
-_LEX = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|([A-Za-z_][\w.]*)|(==|!=|[+|()]))")
+def line(text: str) -> str:
+    return escape(text).replace("\n", "\\n").replace("\r", "\\r")
+
+
+_FILTERS = {"escape": escape, "line": line, "trim": str.strip, "upper": str.upper, "lower": str.lower, "text": str}
+_LOOP = ("first", "last", "index", "index0")
+_WORDS = {"and", "or", "not", "true", "false", "message", "messages", "loop", "for", "in", "if", "set"}
+_OPS = {"+": lambda a, b: a + b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "and": lambda a, b: a and b, "or": lambda a, b: a or b, "not": lambda a: not a, "slice": lambda a, at: a[at]}
+_LEX = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|([A-Za-z_][\w.]*)|(==|!=|[+|()\[\]:])|(-?\d+))", re.S)
 
 
 class _Expression:
     """Recursive descent over the tokens of one expression."""
 
-    def __init__(self, text: str):
-        self.tokens, at = [], 0
+    def __init__(self, text: str, known: frozenset[str] = frozenset(), in_loop: bool = True):
+        self.tokens, at, self.known, self.in_loop = [], 0, known, in_loop
         text = text.strip()
         while at < len(text):
             m = _LEX.match(text, at)
             if not m:
                 raise TemplateError(f"can't read {text[at:]!r}")
-            self.tokens.append(("s", re.sub(r"\\(.)", lambda x: {"n": "\n", "t": "\t"}.get(x[1], x[1]), m[1][1:-1])) if m[1] is not None else ("n", m[2]) if m[2] else ("o", m[3]))
+            self.tokens.append(("s", re.sub(r"\\(.)", lambda x: {"n": "\n", "t": "\t"}.get(x[1], x[1]), m[1][1:-1])) if m[1] is not None else ("n", m[2]) if m[2] else ("o", m[3]) if m[3] else ("i", int(m[4])))
             at = m.end()
         self.at = 0
 
@@ -144,23 +167,45 @@ class _Expression:
             left = fold_op("+", left, self.filtered())
         return left
 
-    def filtered(self):
+    def sliced(self):
         left = self.atom()
+        while self.take(("o", "[")):
+            ends = []
+            for stop in (":", "]"):
+                kind, value = self.peek()
+                ends.append(value if kind == "i" else None)
+                self.at += kind == "i"
+                if not self.take(("o", stop)):
+                    raise TemplateError(f"missing {stop}")
+            left = fold_op("slice", left, Const(slice(*ends)))
+        return left
+
+    def filtered(self):
+        left = self.sliced()
         while self.take(("o", "|")):
             kind, name = self.peek()
             if kind != "n" or name not in _FILTERS:
                 raise TemplateError(f"unknown filter {name!r}")
             self.at += 1
-            left = Const(_FILTERS[name](left.value)) if isinstance(left, Const) else Op(name, (left,))
+            left = Const(_apply(_FILTERS[name], left.value)) if isinstance(left, Const) else Op(name, (left,))
         return left
 
     def atom(self):
         kind, value = self.peek()
         self.at += 1
-        if kind == "s":
+        if kind in "si" and kind:
             return Const(value)
-        if kind == "n" and value in ("message.role", "message.text"):
-            return Field(value.split(".")[1])
+        if kind == "n" and value == "message" and self.take(("o", "[")):
+            value = f"message.{self.peek()[1]}" if self.peek()[0] == "s" else ""
+            self.at += 1
+            if not self.take(("o", "]")):
+                raise TemplateError("missing ]")
+        if kind == "n" and value in ("message.role", "message.text", *(f"loop.{x}" for x in _LOOP)):
+            if not self.in_loop:
+                raise TemplateError(f"{value} outside the loop")
+            return Field(value)
+        if kind == "n" and value in self.known:
+            return Name(value)
         if kind == "n" and value in ("true", "false"):
             return Const(value == "true")
         if (kind, value) == ("o", "("):
@@ -171,10 +216,17 @@ class _Expression:
         raise TemplateError(f"unexpected {value!r}")
 
 
+def _apply(run, *values):
+    try:
+        return run(*values)
+    except (TypeError, AttributeError) as e:
+        raise TemplateError(f"{e}") from e
+
+
 def fold_op(name: str, *args):
     if all(isinstance(a, Const) for a in args):
-        return Const(_OPS[name](*(a.value for a in args)))
-    if name == "+" and isinstance(args[1], Const) and isinstance(args[0], Op) and args[0].name == "+" and isinstance(args[0].args[1], Const):
+        return Const(_apply(_OPS[name], *(a.value for a in args)))
+    if name == "+" and isinstance(args[1], Const) and isinstance(args[0], Op) and args[0].name == "+" and isinstance(args[0].args[1], Const) and isinstance(args[0].args[1].value, str) and isinstance(args[1].value, str):
         return Op("+", (args[0].args[0], Const(args[0].args[1].value + args[1].value)))
     return Op(name, args)
 
@@ -206,10 +258,12 @@ def parse(template: str) -> tuple:
     """The folded syntax tree of a template."""
     root: list = []
     open_: list[tuple[str, list, list]] = [("", root, [])]
+    known: frozenset[str] = frozenset()
+    expression = lambda text: _Expression(text, known, any(o[0] == "for" for o in open_)).parse()
     for part in re.split(r"(\{\{.*?\}\}|\{%.*?%\})", template, flags=re.S):
         here = open_[-1][1]
         if part.startswith("{{"):
-            here.append(_Expression(part[2:-2]).parse())
+            here.append(expression(part[2:-2]))
         elif part.startswith("{%"):
             words = part[2:-2].strip()
             head, _, rest = words.partition(" ")
@@ -217,19 +271,28 @@ def parse(template: str) -> tuple:
                 if len(open_) > 1:
                     raise TemplateError("the loop must be at the top")
                 open_.append(("for", [], []))
+                known = frozenset()
             elif head == "if":
-                open_.append(("if", [], [(_Expression(rest).parse(), None)]))
+                open_.append(("if", [], [(expression(rest), None)]))
             elif head in ("elif", "else") and open_[-1][0] == "if":
                 kind, body, tests = open_.pop()
                 tests[-1] = (tests[-1][0], tuple(body))
-                tests.append((_Expression(rest).parse() if head == "elif" else Const(True), None))
+                tests.append((expression(rest) if head == "elif" else Const(True), None))
                 open_.append((kind, [], tests))
+            elif head == "set":
+                name, sign, value = rest.partition("=")
+                name = name.strip()
+                if not sign or not re.fullmatch(r"[A-Za-z_]\w*", name) or name in _WORDS:
+                    raise TemplateError(f"unexpected {words!r}")
+                here.append(Let(name, expression(value)))
+                known |= {name}
             elif words == "generation":
                 open_.append(("generation", [], []))
             elif words in ("endfor", "endif", "endgeneration") and open_[-1][0] == words[3:]:
                 kind, body, tests = open_.pop()
                 if kind == "for":
                     node: object = Loop(tuple(body))
+                    known = frozenset()
                 elif kind == "generation":
                     node = Generation(tuple(body))
                 else:
@@ -251,22 +314,24 @@ def parse(template: str) -> tuple:
 
 
 def _value(node):
+    """A closure from what is known of a message (a dict) to the expression's value."""
     if isinstance(node, Const):
         value = node.value
-        return lambda role, text: value
-    if isinstance(node, Field):
-        return (lambda role, text: role) if node.name == "role" else (lambda role, text: text)
+        return lambda e: value
+    if isinstance(node, Field | Name):
+        key = node.name
+        return lambda e: e.get(key, "")
     args = [_value(a) for a in node.args]
     run = _FILTERS.get(node.name) or _OPS[node.name]
     if len(args) == 1:
         (one,) = args
-        return lambda role, text: run(one(role, text))
+        return lambda e: _apply(run, one(e))
     left, right = args
     if node.name == "and":
-        return lambda role, text: left(role, text) and right(role, text)
+        return lambda e: left(e) and right(e)
     if node.name == "or":
-        return lambda role, text: left(role, text) or right(role, text)
-    return lambda role, text: run(left(role, text), right(role, text))
+        return lambda e: left(e) or right(e)
+    return lambda e: _apply(run, left(e), right(e))
 
 
 def _writer(body: tuple, trained: bool):
@@ -276,66 +341,82 @@ def _writer(body: tuple, trained: bool):
             steps.append(_writer(node.body, True))
         elif isinstance(node, If):
             test, then, other = _value(node.test), _writer(node.then, trained), _writer(node.other, trained)
-            steps.append(lambda sink, role, text, test=test, then=then, other=other: (then if test(role, text) else other)(sink, role, text))
+            steps.append(lambda sink, e, test=test, then=then, other=other: (then if test(e) else other)(sink, e))
+        elif isinstance(node, Let):
+            steps.append(lambda sink, e, name=node.name, value=_value(node.value): e.__setitem__(name, value(e)))
         else:
-            steps.append(lambda sink, role, text, value=_value(node): sink(value(role, text), trained))
+            steps.append(lambda sink, e, value=_value(node): sink(value(e), trained))
 
-    def write(sink, role, text):
+    def write(sink, e):
         for step in steps:
-            step(sink, role, text)
+            step(sink, e)
 
     return write
 
 
 @dataclass(frozen=True)
 class Compiled:
-    """Closures for what stands before, inside and after the loop."""
+    """Closures for what stands before, inside and after the loop; whether they need a turn's place in its conversation."""
 
     before: object
     turn: object
     after: object
+    placed: bool
 
 
 def compile_template(template: str) -> Compiled:
     tree = parse(template)
     at = next(i for i, n in enumerate(tree) if isinstance(n, Loop))
-    return Compiled(_writer(tree[:at], False), _writer(tree[at].body, False), _writer(tree[at + 1 :], False))
+    return Compiled(_writer(tree[:at], False), _writer(tree[at].body, False), _writer(tree[at + 1 :], False), len(tree) > 1 or "'loop." in repr(tree[at]))
 
 
-def render(write, role: str = "", text: str = "") -> tuple[str, list[tuple[int, int]]]:
-    """The output, and the spans (code points) under the generation marker."""
+def render(writers, role: str = "", text: str = "", first: bool = True, last: bool = True, index: int = 1) -> tuple[str, list[tuple[int, int]]]:
+    """The output of one or several writers, and the spans (code points) under the generation marker."""
     parts, spans, at = [], [], 0
 
     def sink(piece, trained):
         nonlocal at
+        if not isinstance(piece, str):
+            raise TemplateError(f"{piece!r} is no text")
         parts.append(piece)
         if trained:
             spans.append((at, at + len(piece)))
         at += len(piece)
 
-    write(sink, role, text)
+    for write in writers if isinstance(writers, list | tuple) else [writers]:
+        write(sink, {"message.role": role, "message.text": text, "loop.first": first, "loop.last": last, "loop.index": index, "loop.index0": index - 1})
     return "".join(parts), spans
 
 
 def format_turns(conversations: DataFrame, template: str = CHATML) -> DataFrame:
-    """conv_id, turn, role, formatted, loss (array of start, end): the output of each turn, a narrow map.
+    """conv_id, turn, role, formatted, loss (array of start, end): the output of each turn.
 
-    A conversation's output is ``before``, its turns' ``formatted`` in order, and ``after``.
+    A conversation's output is its turns' ``formatted`` in order; the first holds what stands before the loop and the last what
+    stands behind it. That is a narrow map, unless the template has such parts or asks for a turn's place: then turns are
+    numbered by a window over each conversation, which streams them.
     """
-    parse(template)  # errors show up on the driver
+    placed = compile_template(template).placed  # errors show up on the driver
 
     def run(batches):
-        write = compile_template(template).turn
+        code = compile_template(template)
         for batch in batches:
-            roles, texts = (batch.column(i).to_pylist() for i in (2, 3))
-            got = [render(write, r or "", t or "") for r, t in zip(roles, texts, strict=True)]
+            cols = [batch.column(i).to_pylist() for i in range(2, batch.num_columns)]
+            got = []
+            for role, text, *place in zip(*cols, strict=True):
+                index, last = place if place else (1, False)
+                writers = [*([code.before] if place and index == 1 else []), code.turn, *([code.after] if last else [])]
+                got.append(render(writers, role or "", text or "", index == 1, last, index))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array([g[0] for g in got], pa.string()), pa.array([[{"start": a, "end": b} for a, b in g[1]] for g in got], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 names=["conv_id", "turn", "role", "formatted", "loss"],
             )
 
     kinds = [conversations.schema[c].dataType.simpleString() for c in ("conv_id", "turn")]
-    return conversations.select("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kinds[0]}, turn {kinds[1]}, role string, formatted string, loss array<struct<start:bigint,end:bigint>>")
+    rows = conversations.select("conv_id", "turn", "role", "text")
+    if placed:
+        w = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+        rows = rows.withColumn("__index", F.row_number().over(w)).withColumn("__last", F.lead(F.lit(1)).over(w).isNull())
+    return rows.mapInArrow(run, f"conv_id {kinds[0]}, turn {kinds[1]}, role string, formatted string, loss array<struct<start:bigint,end:bigint>>")
 
 
 _TURN = re.compile(r"<\|im_start\|>((?:[^<]|<(?!\|))*?)\n(.*?)<\|im_end\|>\n", re.S)

@@ -27,7 +27,7 @@ _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
 _OP2 = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-    e AS (SELECT *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_start|>') + length('<|im_end|>') + 2 AS n FROM c)
+    e AS (SELECT *, length(replace(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n'), chr(13), '\r')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_start|>') + length('<|im_end|>') + 2 AS n FROM c)
     SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
     CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
     CAST(sum(n) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
