@@ -1,8 +1,11 @@
 """Toxicity by weak supervision.
 
-1. Voters. Every word and every word prefix of three to eight letters (a pattern) of the labelled training
-   texts is a possible voter. Spark counts, for each, the texts of either label that hold it and keeps the
-   ``max_voters`` with the largest weighted log odds; of these, a greedy cover takes the one that finds
+1. Voters. Some are known beforehand and owe nothing to the labels: a short lexicon of insults in four languages,
+   shouting, and runs of exclamation marks (``LEXICON``, ``KNOWN``). Further, every word and every word prefix of three
+   to eight letters (a pattern) of the labelled training
+   texts is a possible voter. Spark counts, for each, the texts of either label that hold it; support and log odds
+   alone decide, there is no cap on their number. Voters that fire in the same texts are one (its longest
+   word). Of these, a greedy cover takes the one that finds
    most toxic texts, each counting half as much with every voter that has found it, until too few are left. A voter says "toxic"
    when a text holds it and abstains otherwise. Prefixes catch inflected forms that training lacks.
 2. Label model. A latent class per text; each voter fires with its own rate under either class, and the
@@ -14,8 +17,8 @@
 Fit: on at most ``fit_rows`` (20,000) labelled rows, the first by a hash of doc_id; one row a doc_id.
 Scores: on every row, by a narrow map. Inputs of a score are the text's words alone.
 
-Null and empty texts, and texts in which nothing votes, get the same low score; repeated rows are scored
-each; doc_ids in labels without a text, and null labels, are left out; with no usable label every score
+Null and empty texts, and texts in which nothing votes, get the same low score; very long texts are read whole; repeated
+rows are scored each; rows without a doc_id are scored but never fitted on; empty tables give no scores, or scores without voters; doc_ids in labels without a text, and null labels, are left out; with no usable label every score
 is 0; other columns are dropped.
 """
 
@@ -31,7 +34,14 @@ from pyspark.sql import functions as F
 
 from ._common import stage, table
 
-FIT_ROWS, MAX_VOTERS, MIN_SUPPORT = 20_000, 600, 4
+FIT_ROWS, MIN_SUPPORT = 20_000, 4
+#: Common insults (English, German, French, Spanish).
+LEXICON = frozenset(
+    "asshole bastard bitch coward cretin dumbass filth freak fool garbage idiot imbecile jerk loser moron pathetic pig scum shit slut stupid trash ugly vermin whore worthless "
+    "abschaum arschloch depp dreckschwein dummkopf feigling hurensohn idiotin mistkerl schlampe schwachkopf schwein trottel versager wichser "
+    "abruti connard connasse crétin débile enfoiré imbécile ordure pourriture salaud salope stupide "
+    "asqueroso basura cabrón escoria estúpido gilipollas idiota imbécil malparido maldito puta tonto zorra".split()
+)
 PREFIXES = range(3, 9)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -40,26 +50,48 @@ def held_out(doc_id):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def candidates(text: str | None) -> set[str]:
-    """The words of a text, and its prefixes as "abc*"."""
-    out = set(_WORD.findall((text or "").lower()))
-    return out | {f"{w[:n]}*" for w in out for n in PREFIXES if len(w) > n}
+_BANG = re.compile(r"!{2,}|[?!]{3,}")
+#: Voters that owe nothing to the labels.
+KNOWN = ("@insult", "@shout", "@bang")
+
 
+def known_voters(text: str, words: set[str]) -> set[str]:
+    """An insult of the lexicon; half of ten words or more in capitals; a run of exclamation marks."""
+    out = set() if words.isdisjoint(LEXICON) else {"@insult"}
+    if _BANG.search(text):
+        out.add("@bang")
+    said = _WORD.findall(text) if text.upper() == text or sum(map(str.isupper, text)) * 3 > len(text) else ()
+    if len(said) >= 10 and sum(w.isupper() for w in said) * 2 >= len(said):
+        out.add("@shout")
+    return out
 
-def cover(votes: np.ndarray, labels: np.ndarray, min_support: int) -> list[int]:
-    """Voters, best first. Each hit halves what a text counts for later voters, so that texts are found in several ways."""
-    left, out, toxic = np.ones(len(labels)), [], labels > 0
-    rare = toxic.sum() / max((~toxic).sum(), 1)
-    supported = votes[toxic].sum(axis=0) >= min_support
-    free = supported.copy()
+
+def candidates(text: str | None) -> set[str]:
+    """The words of a text, its prefixes as "abc*", and the known voters it holds."""
+    text = text or ""
+    out = set(_WORD.findall(text.lower()))
+    return out | {f"{w[:n]}*" for w in out for n in PREFIXES if len(w) > n} | known_voters(text, out)
+
+
+def cover(hits: list[np.ndarray], labels: np.ndarray, min_support: int) -> list[int]:
+    """Voters (each the rows it fires in), best first. Each hit halves what a text counts for later voters, so that texts are found in several ways."""
+    if not hits:
+        return []
+    left, out, toxic = np.ones(len(labels)), [], (labels > 0).astype(float)
+    rare = toxic.sum() / max((1 - toxic).sum(), 1)
+    rows = np.concatenate(hits)
+    of = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+    total = lambda x: np.bincount(of, weights=x[rows], minlength=len(hits))
+    free = total(toxic) >= min_support
+    cost = 2 * max(rare, 0.2) * total(1 - toxic)
     while free.any():
-        gain = np.where(free, (left * toxic) @ votes - 2 * np.maximum(rare, 0.2) * ((~toxic) @ votes), -np.inf)
+        gain = np.where(free, total(left * toxic) - cost, -np.inf)
         best = int(np.argmax(gain))
         if gain[best] < min_support / 2:
             break
         out.append(best)
         free[best] = False
-        left = left * (1 - 0.5 * votes[:, best])
+        left[hits[best]] *= 0.5
     return out
 
 
@@ -124,7 +156,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 20
     return w[:-1], float(w[-1])
 
 
-def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_voters: int = MAX_VOTERS, min_support: int = MIN_SUPPORT) -> tuple[dict[str, float], float]:
+def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, min_support: int = MIN_SUPPORT) -> tuple[dict[str, float], float]:
     """Weights of the voters, and the intercept."""
     spark = documents.sparkSession
     chosen = labels.where("toxic is not null and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
@@ -142,19 +174,26 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_v
         return {}, -math.inf if not t else 5.0
     counted = rows.select("toxic", F.explode("held").alias("voter")).groupBy("voter").agg(F.sum("toxic").alias("on"), F.count("*").alias("of")).where(F.col("on") >= min_support)
     odds = F.log(((F.col("on") + 0.5) / t) / ((F.col("of") - F.col("on") + 0.5) / (n - t)))
-    voters = [r["voter"] for r in counted.withColumn("gain", F.col("on") * odds).where(odds > 1.5).orderBy(F.desc("gain"), F.desc(F.length("voter")), "voter").limit(max_voters).collect()]
-    if not voters:
+    gain = F.when(odds > 1.5, F.col("on") * odds)
+    wanted = stage(counted.withColumn("gain", gain).where(F.col("gain").isNotNull() | F.col("voter").isin(*KNOWN)).select("voter", F.coalesce("gain", F.lit(0.0)).alias("gain")), "toxic-voters")
+    # Voters that fire in the same rows are one. At most fit_rows rows are listed, each with the voters of one text.
+    held = rows.select("doc_id", F.explode("held").alias("voter")).join(wanted, "voter").groupBy("voter", "gain").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
+    best = F.max(F.struct("gain", F.length("voter").alias("size"), "voter"))
+    one = held.groupBy(F.sha2(F.array_join(F.transform("docs", lambda x: x.cast("string")), ","), 256).alias("same")).agg(best.alias("b"), F.first("docs").alias("docs"))
+    told = one.select("b.gain", "b.size", "b.voter", "docs").orderBy(F.desc("gain"), F.desc("size"), "voter").collect()
+    if not told:
         return {}, math.log(t / (n - t))
-    at = {v: i for i, v in enumerate(voters)}
-    wanted = F.broadcast(spark.createDataFrame(list(at.items()), "voter string, k int"))
-    hits = rows.select("doc_id", "toxic", F.explode_outer("held").alias("voter")).join(wanted, "voter", "left").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.collect_set("k").alias("hits")).orderBy("doc_id").collect()
-    votes, y = np.zeros((len(hits), len(voters))), np.array([r["toxic"] for r in hits], float)
-    for i, r in enumerate(hits):
-        votes[i, r["hits"]] = 1
-    chosen_voters = cover(votes, y, min_support)
+    labelled = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy("doc_id").toArrow()
+    ids, y = labelled.column("doc_id").to_numpy(), labelled.column("toxic").to_numpy().astype(float)
+    voters, hits = [r["voter"] for r in told], [np.searchsorted(ids, r["docs"]) for r in told]
+    chosen_voters = cover(hits, y, min_support)
+    known = [i for i, v in enumerate(voters) if v in KNOWN and i not in chosen_voters and len(hits[i]) >= min_support]
+    chosen_voters += known
     if not chosen_voters:
         return {}, math.log(t / (n - t))
-    votes = votes[:, chosen_voters]
+    votes = np.zeros((len(ids), len(chosen_voters)))
+    for k, v in enumerate(chosen_voters):
+        votes[hits[v], k] = 1
     post, *_ = label_model(votes, y)
     w, b = logistic(votes, post)
     return {voters[v]: float(w[i]) for i, v in enumerate(chosen_voters)}, b
@@ -166,12 +205,14 @@ def score_rows(documents: DataFrame, weights: dict[str, float], intercept: float
     def run(batches):
         # Each word's share is worked out once: its own weight and those of its prefixes.
         known: dict[str, tuple] = {}
-        stop = {v for v in weights}
+        stop = set(weights)
+        told = not stop.isdisjoint(KNOWN)
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
-                held: set[str] = set()
-                for w in set(_WORD.findall((text or "").lower())):
+                words = set(_WORD.findall((text or "").lower()))
+                held = {v for v in known_voters(text or "", words) if v in stop} if told else set()
+                for w in words:
                     got = known.get(w)
                     if got is None:
                         if len(known) > 500_000:
