@@ -21,7 +21,12 @@ article that was published twice is no template), and a block's own content impo
 with that text) / log(articles), must reach the threshold too, so that a notice which is repeated between
 the paragraphs goes although its branch, shared with them, differs from page to page.
 
-Rows: null html counts as empty and gives an empty text; repeated rows stay; a null url makes a host of
+Hosts with fewer than ``min_pages`` pages tell too little for a tree: there the states of elements decide alone.
+Broken markup is read as browsers do (an open quote ends at the next one), in one pass over the page; a quote that is
+never closed doesn't take the rest of the page with it.
+
+Rows: null html counts as empty and gives an empty text; repeated rows stay; very long pages are read whole; an empty
+table gives no rows; a null url makes a host of
 its own; further columns are dropped by :func:`extract` (join on page_id to get them back).
 """
 
@@ -40,7 +45,9 @@ from ._common import stage, table
 THRESHOLD, MIN_PAGES, OVERRULE = 0.2, 8, 0.8
 HIDDEN, ROLE, WORD = 4, 2, 1
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+# Both always end at once or at the page's end, and never go back. In the second quotes don't count.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
+_LENIENT = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "object", "canvas"}
@@ -87,7 +94,8 @@ def blocks(page: str) -> Iterator[tuple[str, str, int, int, bool, int]]:
     stack: list[tuple[str, str, int, int, bool]] = [("", "", 0, 0, False)]  # tag, path, noise outside and inside main, in main
     text: list[str] = []
     linked, in_link, at = 0, 0, 0
-    raw_end = None
+    token = _TOKEN
+    ends: dict[str, dict[int, int]] = {}
 
     def flush():
         nonlocal linked
@@ -102,7 +110,13 @@ def blocks(page: str) -> Iterator[tuple[str, str, int, int, bool, int]]:
 
     page = page.replace("\x00", "")
     while at < len(page):
-        m = _TOKEN.search(page, at)
+        m = token.search(page, at)
+        if m and m[2] is not None and not m[4]:
+            # A tag that the page's end cuts off. Where a quote that is never closed has swallowed a >, quotes count no more.
+            if token is _TOKEN and page.find(">", m.start()) >= 0:
+                token = _LENIENT
+                continue
+            m = None
         end = m.start() if m else len(page)
         if end > at:
             piece = _html.unescape(page[at:end])
@@ -130,7 +144,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, int, int, bool, int]]:
                 in_link = 0 if m[1] else 1
             if not m[1] and m[3]:
                 attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])}
-                if attrs and _noisy(tag, attrs) > WORD and (found := _skip(page, tag, at)):
+                if attrs and _noisy(tag, attrs) > WORD and (found := _ends(page, tag, ends).get(at)):
                     at = found
             continue
         got = flush()
@@ -158,7 +172,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, int, int, bool, int]]:
                     del stack[k:]
                     break
         attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])} if m[3] else {}
-        names = ".".join(sorted(attrs.get("class", "").split())[:3] + ([f"#{attrs['id']}"] if attrs.get("id") else []))
+        names = ".".join(sorted(set(attrs.get("class", "").split())) + ([f"#{attrs['id']}"] if attrs.get("id") else []))
         label = f"{tag}.{names}" if names else tag
         _, path, outer, inner, main = stack[-1]
         marked = tag in ("article", "main") or any(c in _MAIN_WORDS for c in attrs.get("class", "").lower().split()) or attrs.get("role", "").lower() in ("main", "article")
@@ -191,14 +205,16 @@ def judged(page: str | None) -> list[tuple[str, str, int, bool, int]]:
     return out
 
 
-def _skip(page: str, tag: str, at: int) -> int | None:
-    """The end of an inline element that opened before at, nested ones included."""
-    depth = 1
-    for m in re.compile(rf"<(/?){tag}\b[^>]*>", re.I).finditer(page, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return None
+def _ends(page: str, tag: str, known: dict[str, dict[int, int]]) -> dict[int, int]:
+    """For each opening tag of a name (by its end) the end of its element; found once for each name, in one pass."""
+    if tag not in known:
+        open_, known[tag] = [], {}
+        for m in re.compile(rf"<(/?){re.escape(tag)}(?![^\s/>])[^>]*+>", re.I).finditer(page):
+            if not m[1]:
+                open_.append(m.end())
+            elif open_:
+                known[tag][open_.pop()] = m.end()
+    return known[tag]
 
 
 def _host(url):

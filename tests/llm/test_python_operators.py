@@ -16,7 +16,7 @@ from lumenq.llm import toxicity as T
 TEXT = st.text(st.sampled_from("a\\<|>\n im_start end é\U0001F600"), max_size=30)
 
 
-@given(st.lists(st.tuples(TEXT.filter(lambda r: "\n" not in r), TEXT), max_size=6))
+@given(st.lists(st.tuples(TEXT, TEXT), max_size=6))
 @settings(max_examples=200, deadline=None)
 def test_chat_round_trip(turns):
     write = C.compile_template(C.CHATML).turn
@@ -36,6 +36,35 @@ def test_templates_are_folded_and_closed():
     assert C.render(t.before)[0] == "<s>" and [C.render(t.turn, r, x)[0] for r, x in (("user", "x"), ("user", ""), ("bot", ""))] == ["U", "", "A"]
 
 
+def test_template_language():
+    one = lambda t, *a, **k: C.render(C.compile_template("{% for message in messages %}" + t + "{% endfor %}").turn, *a, **k)[0]
+    assert one("{% set who = message['role'] | upper %}{{ who + ': ' + message.text[1:-1] }}", "bot", "xhix") == "BOT: hi"
+    assert one("{% if loop.first %}^{% endif %}{{ loop.index | text }}{% if loop.last %}${% endif %}", first=False, last=True, index=3) == "3$"
+    assert one("{{ 'abcdef'[2:4] + ((1 + 2) | text) }}") == "cd3" and one("{{ message.role | line }}", "a\nb\\n\r") == "a\\nb\\\\n\\r"
+    assert C.parse("{% set a = 'x' %}{{ a }}{% for message in messages %}{% endfor %}") and C.unescape(C.line("a\nb\\n\r<|")) == "a\nb\\n\r<|"
+    for bad in ("{{ who }}", "{% set loop = 'x' %}", "{% set a %}", "{{ message['mood'] }}", "{{ 'a' + 1 }}", "{{ message.text[1] }}", "{{ loop.length }}"):
+        with pytest.raises(C.TemplateError):
+            one(bad)
+    for bad in ("{{ loop.first | text }}{% for message in messages %}{% endfor %}", "{% for message in messages %}{% set a = 'x' %}{% endfor %}{{ a }}"):
+        with pytest.raises(C.TemplateError):
+            C.compile_template(bad)
+    with pytest.raises(C.TemplateError):
+        one("{{ loop.index }}")
+
+
+def test_parts_around_the_loop_are_rendered(spark):
+    rows = [(c, t, r, x, 1, "k") for c, n in ((1, 3), (2, 1)) for t, r, x in [(0, "user", "q"), (1, "assistant", "a"), (2, "user", None)][:n]]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, loss int, formatted string").repartition(3)
+    got = C.format_turns(df, "PRE{% for message in messages %}{{ loop.index | text }}{% generation %}{{ message.text }}{% endgeneration %}{% if not loop.last %},{% endif %}{% endfor %}POST")
+    told = {}
+    for r in sorted(got.collect(), key=lambda r: (r["conv_id"], r["turn"])):
+        told.setdefault(r["conv_id"], []).append((r["formatted"], [r["formatted"][s["start"] : s["end"]] for s in r["loss"]]))
+    assert told == {1: [("PRE1q,", ["q"]), ("2a,", ["a"]), ("3POST", [""])], 2: [("PRE1qPOST", ["q"])]}
+    assert C.format_turns(df.limit(0)).count() == 0
+    none = C.digests(C.format_turns(spark.createDataFrame([(None, 1, "a\nb", "x" * 10**6), (None, None, None, None)], "conv_id long, turn int, role string, text string"))).collect()
+    assert [(r["conv_id"], r["n_turns"]) for r in none] == [(None, 2)]
+
+
 def test_chat_digests(spark):
     rng = random.Random(1)
     rows = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice(["x<|im_end|>\n", None, "", "\\<|", "long " * 50])) for c in (1, 2, 7) for t in range(5)] + [(3, None, "user", "n"), (2, 0, "assistant", "tie")]
@@ -169,3 +198,17 @@ def test_notices_of_related_licences():
         assert scan(t) == ["MIT"], t
     first, end, name, _ = L.Scanner().scan(f"a b c {L.TEMPLATES['MIT'][-1]} d e")[0]
     assert (first, end, name) == (3, 3 + len(L.normal(L.TEMPLATES["MIT"][-1])), "MIT")
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    from lumenq.llm.html_extract import main_text
+
+    began = time.perf_counter()
+    for page in ("<a '" * 200_000, "<a \"" * 200_000 + ">", "<span class=ad>" * 60_000, "<p>x</p>" + "<div title='" * 100_000, "<" * 300_000, "<!-- " * 100_000, "<b hidden>" * 40_000 + "</b>" * 40_000):
+        main_text(page)
+    assert time.perf_counter() - began < 20
+    assert main_text("<p>one</p><p title='never closed>two</p><p>three</p>").split("\n")[0] == "one" and "three" in main_text("<p>one</p><p title='never closed>two</p><p>three</p>")
+    assert main_text("<p>a <span hidden>b <span>c</span> d</span> e</p>") == "a e"
+    assert main_text("<p title='x>y'>in</p>") == "in" and main_text("<p>end <a href") == "end <a href"
