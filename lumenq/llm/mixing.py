@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import n_words, stage, table
+from ._common import discard, n_words, stage, table
 
 CAP, PART, WEIGHTS = 3.0, 1000, (1.0, 2.0, 3.0)
 _ONE = 1 << 30
@@ -66,7 +66,11 @@ def solve(sizes: DataFrame, sources: DataFrame, cap: float = CAP, rounds: int =
         newton = F.col("lam") + F.least(F.greatest(step, -reach), reach)
         inside = (newton > F.col("lo")) & (newton < F.col("hi"))
         met = F.col("done") | (F.abs(F.col("g") - F.col("target")) <= near * F.col("target")) | (F.abs("lam") > 1e8)
-        now = stage(moved.withColumn("met", met).withColumn("lam", F.when(F.col("met"), F.col("lam")).when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2)).select("source", "mean_size", "target", "source_size", "lam", "lo", "hi", F.col("met").alias("done")), "mix-lambda")
+        further = stage(moved.withColumn("met", met).withColumn("lam", F.when(F.col("met"), F.col("lam")).when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2)).select("source", "mean_size", "target", "source_size", "lam", "lo", "hi", F.col("met").alias("done")), "mix-lambda")
+        discard(now)
+        now = further
+    if now.where("not done").limit(1).count():
+        raise RuntimeError(f"the multipliers haven't met their targets after {rounds} rounds")
     return now
 
 
