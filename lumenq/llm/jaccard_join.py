@@ -39,7 +39,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +66,8 @@ class _Words(dict):
     """Hashes of words, remembered."""
 
     def __init__(self, seed: int):
+        import xxhash
+
         super().__init__()
         self.seed, self.hash = seed, xxhash.xxh64_intdigest
 
@@ -212,19 +213,13 @@ def _nodes(documents: DataFrame, seed: int, moved: frozenset[int] = frozenset())
     """doc_id, n_shingles, node, check."""
 
     def run(batches):
-        known, seen = _Words(seed), {}
+        known = _Words(seed)
         for batch in batches:
             n, node, check = [], [], []
             for text in batch.column(1).to_pylist():
-                # Copies of a text are told by 128 bits, and not taken apart again.
-                same = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
-                if same not in seen:
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    h = shingles(text, known)
-                    seen[same] = (len(h), *(node_of(h, seed, moved) if len(h) else (None, None)))
-                size, a, b = seen[same]
-                n.append(size)
+                h = shingles(text, known)
+                n.append(len(h))
+                a, b = node_of(h, seed, moved) if len(h) else (None, None)
                 node.append(a)
                 check.append(b)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64())], names=["doc_id", "n_shingles", "node", "check"])
@@ -237,17 +232,11 @@ def _rows(documents: DataFrame, seed: int, hot, moved: frozenset[int] = frozense
     """key, node (negative, by its sign bit, where it probes). A task gives equal sets once."""
 
     def run(batches):
-        known, seen, texts = _Words(seed), set(), set()
+        known, seen = _Words(seed), set()
         common = hot.value if hot else _NO_HOT
         for batch in batches:
             keys, nodes, n = [], [], 0
             for text in batch.column(0).to_pylist():
-                same = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
-                if same in texts:
-                    continue
-                if len(texts) > 200_000:
-                    texts.clear()
-                texts.add(same)
                 h = shingles(text, known)
                 if not len(h):
                     continue
