@@ -35,6 +35,7 @@ very long texts are sets like others; an empty table gives none; other columns,
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -51,7 +52,13 @@ MOST_MOVED = 100_000
 #: Involved documents are broadcast by id up to this many rows (16 MB), else joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: Bytes of a text that are hashed at once.
+PART = 1 << 21
+
 _U = np.uint64
+_B = 0x9E3779B97F4A7C15
+_INVERSE = pow(_B, -1, 1 << 64)
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 _SIGN, _ID = -(1 << 63), (1 << 63) - 1
 _MASK = (1 << 64) - 1
 
@@ -81,13 +88,54 @@ class _Words(dict):
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=_U)
 
 
-def shingles(text: str | None, known: _Words) -> np.ndarray:
+class _Powers:
+    """Powers of the base and of its inverse, as many as the longest text so far needs."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, _U)
+
+    def get(self, n: int):
+        if len(self.up) < n:
+            m = max(n, 2 * len(self.up), 1024)
+            self.up = np.concatenate((np.ones(1, _U), np.full(m - 1, _B, _U))).cumprod(dtype=_U)
+            self.down = np.concatenate((np.ones(1, _U), np.full(m - 1, _INVERSE, _U))).cumprod(dtype=_U)
+        return self.up[:n], self.down[:n]
+
+
+class _Hasher(_Powers):
+    """Hashes of all words of a text at once: each byte has a number of its own, and words are polynomials of these."""
+
+    def __init__(self, seed: int):
+        super().__init__()
+        self.bytes = _mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed))
+        self.blank = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+
+    def words(self, data: bytes) -> np.ndarray:
+        out, at = [], 0
+        while at < len(data):  # very long texts in parts, for memory; parts end at a blank
+            m = _BLANK.search(data, at + PART) if at + PART < len(data) else None
+            end = m.start() if m else len(data)
+            out.append(self._part(np.frombuffer(data, np.uint8, end - at, at)))
+            at = end
+        return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, _U)
+
+    def _part(self, b: np.ndarray) -> np.ndarray:
+        word = np.zeros(len(b) + 2, bool)
+        word[1:-1] = ~self.blank[b]
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        first, end = edges[::2], edges[1::2]
+        up, down = self.get(len(b) + 1)
+        sums = np.zeros(len(b) + 1, _U)
+        np.cumsum(self.bytes[b] * up[:-1], out=sums[1:])
+        return _mix((sums[end] - sums[first]) * down[first] + (end - first).astype(_U))
+
+
+def shingles(text: str | None, known: _Hasher) -> np.ndarray:
     """The sorted hashes of a text's distinct shingles."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and just the six ASCII spaces
-    n = len(found)
+    h = known.words((text or "").encode("utf-8", "surrogatepass").lower())  # bytes: A-Z only, and just the six ASCII spaces
+    n = len(h)
     if not n:
         return np.empty(0, _U)
-    h = np.fromiter(map(known.__getitem__, found), _U, n)
     if n < SHINGLE:
         x = np.zeros(1, _U)
         for k in range(n):
@@ -213,7 +261,7 @@ def _nodes(documents: DataFrame, seed: int, moved: frozenset[int] = frozenset())
     """doc_id, n_shingles, node, check."""
 
     def run(batches):
-        known = _Words(seed)
+        known = _Hasher(seed)
         for batch in batches:
             n, node, check = [], [], []
             for text in batch.column(1).to_pylist():
@@ -232,7 +280,7 @@ def _rows(documents: DataFrame, seed: int, hot, moved: frozenset[int] = frozense
     """key, node (negative, by its sign bit, where it probes). A task gives equal sets once."""
 
     def run(batches):
-        known, seen = _Words(seed), set()
+        known, seen = _Hasher(seed), set()
         common = hot.value if hot else _NO_HOT
         for batch in batches:
             keys, nodes, n = [], [], 0
@@ -347,7 +395,7 @@ def _with_sets(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, seed: i
         ids = F.broadcast(ids)
 
     def sets(batches):
-        known = _Words(seed)
+        known = _Hasher(seed)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, known).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "set"])
 
@@ -441,7 +489,7 @@ def _by_elements(documents: DataFrame, rare: DataFrame, seed: int, moved: frozen
     """
 
     def elements(batches):
-        known = _Words(seed)
+        known = _Hasher(seed)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 h = shingles(text, known)

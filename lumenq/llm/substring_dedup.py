@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import release, stage, table
-from .jaccard_join import _mix, _Words
+from .jaccard_join import _mix, _Powers, _Words
 
 LENGTH, GRAM = 50, 8
 #: Occurrences from which an anchor's windows are cut into 2 pieces; from 8 and 32 times as many into 4 and 43.
@@ -59,22 +59,6 @@ CHUNK = 10_000
 BITS = 1 << 27
 
 _U = np.uint64
-_B = 0x9E3779B97F4A7C15
-_INVERSE = pow(_B, -1, 1 << 64)
-
-
-class _Powers:
-    """Powers of the base and of its inverse, as many as the longest text so far needs."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, _U)
-
-    def get(self, n: int):
-        if len(self.up) < n:
-            m = max(n, 2 * len(self.up), 1024)
-            self.up = np.concatenate((np.ones(1, _U), np.full(m - 1, _B, _U))).cumprod(dtype=_U)
-            self.down = np.concatenate((np.ones(1, _U), np.full(m - 1, _INVERSE, _U))).cumprod(dtype=_U)
-        return self.up[:n], self.down[:n]
 
 
 def split(text: str | None) -> list[bytes]:

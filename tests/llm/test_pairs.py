@@ -245,3 +245,14 @@ def test_jaccard_of_odd_tables(spark):
     df = spark.createDataFrame([(i, t, 1, "x", [1]) for i, t in rows], "doc_id long, text string, node int, key string, a array<int>")
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.group(df).collect())
     assert set(got) == brute_components(rows) and len(got) == len(rows)
+
+
+def test_words_are_hashed_by_their_bytes(monkeypatch):
+    known = J._Hasher(1)
+    text = "a  bb\tccc\nbb a \x0b\x0c\r dd\u00a0dd é \x1c x" + " zz" * 50
+    h = known.words(text.encode())
+    found = text.encode().split()
+    assert len(h) == len(found) and len(set(h.tolist())) == len(set(found))
+    assert {(a, b) for a, b in zip(found, h.tolist(), strict=True)} == {(a, known.words(a).tolist()[0]) for a in found}
+    monkeypatch.setattr(J, "PART", 7)
+    assert known.words(text.encode()).tolist() == h.tolist() and known.words(b" \n ").tolist() == [] and known.words(b"").tolist() == []
