@@ -69,22 +69,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-class _Words(dict):
-    """Hashes of words, remembered."""
-
-    def __init__(self, seed: int):
-        import xxhash
-
-        super().__init__()
-        self.seed, self.hash = seed, xxhash.xxh64_intdigest
-
-    def __missing__(self, word):
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = got = self.hash(word, self.seed)
-        return got
-
-
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=_U)
 
 

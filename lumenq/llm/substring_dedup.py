@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import release, stage, table
-from .jaccard_join import _mix, _Powers, _Words
+from .jaccard_join import _Hasher, _mix, _Powers
 
 LENGTH, GRAM = 50, 8
 #: Occurrences from which an anchor's windows are cut into 2 pieces; from 8 and 32 times as many into 4 and 43.
@@ -61,12 +61,12 @@ BITS = 1 << 27
 _U = np.uint64
 
 
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
 
-def word_hashes(found: list[bytes], known: _Words) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, found), _U, len(found))
+def split(text: str | None) -> list[bytes]:
+    return _bytes(text).split()
 
 
 class _Text:
@@ -127,7 +127,7 @@ def _texts(documents: DataFrame) -> DataFrame:
     """doc_id, the two halves of its text's digest, and the text's anchors (one for each place)."""
 
     def run(batches):
-        known, powers, once = _Words(7), _Powers(), _Once()
+        known, once = _Hasher(7), _Once()
         for batch in batches:
             docs, hi, lo, found = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -140,7 +140,7 @@ def _texts(documents: DataFrame) -> DataFrame:
                 lo.append((d & ((1 << 64) - 1)) - (1 << 63))
                 got = np.empty(0, np.int64)
                 if once.new(d, doc):
-                    grams = _Text(word_hashes(ws, known), powers).of(GRAM)
+                    grams = _Text(known.words(_bytes(text)), known).of(GRAM)
                     got = grams[np.unique(anchor_places(grams))].view(np.int64)
                 found.append(got)
             if docs:
@@ -202,7 +202,7 @@ def _pieces(documents: DataFrame, bitmap, frequent) -> DataFrame:
     """group, hi, lo (digest), doc_id, start, n (windows), off (of the suffix), words (null where the task has sent them)."""
 
     def run(batches):
-        known, powers, once, sent = _Words(7), _Powers(), _Once(), _Once()
+        known, once, sent = _Hasher(7), _Once(), _Once()
         bits, often = bitmap.value, frequent.value
         rows: list[tuple] = []
         digests: list[bytes] = []
@@ -221,7 +221,7 @@ def _pieces(documents: DataFrame, bitmap, frequent) -> DataFrame:
                 ws = split(text)
                 if len(ws) < LENGTH or doc is None or not once.new(digest(ws), doc):
                     continue
-                for groups, ps, qs, xs in cut(_Text(word_hashes(ws, known), powers), bits, often):
+                for groups, ps, qs, xs in cut(_Text(known.words(_bytes(text)), known), bits, often):
                     for g, p, q, x in zip(groups.view(np.int64).tolist(), ps.tolist(), qs.tolist(), xs.tolist(), strict=True):
                         piece = b" ".join(ws[p : q + LENGTH])
                         d = hashlib.blake2b(piece, digest_size=16).digest()
