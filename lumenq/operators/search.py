@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,34 +175,55 @@ def lsh_knn(vectors: DataFrame, query: Sequence[float], k: int, candidates: int
     return top(near.select("id", METRICS["l2"](F.col("v"), literal(query)).alias("dist")), k, "dist", descending=False)
 
 
-def product_quantize(vectors: DataFrame, subspaces: int = 4, centroids: int = 16, id_col: str = "vec_id", vec_col: str = "embedding", fit_rows: int = 10_000):
-    """Codes (id, codes) and codebooks of a product quantiser; codebooks are fitted on at most fit_rows rows."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def _means(x, k: int, rounds: int = 12):
+    """k centroids of the rows of a small matrix (Lloyd's rounds; the first are spread by distance, without chance)."""
+    import numpy as np
 
-    dim = len(vectors.select(vec_col).first()[0])
-    width = -(-dim // subspaces)
-    sample = vectors.orderBy(F.xxhash64(id_col)).limit(fit_rows)
-    books, codes = [], vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    for s in range(subspaces):
-        part = F.slice(F.col(vec_col).cast("array<double>"), s * width + 1, width)
-        model = KMeans(k=centroids, seed=42, maxIter=8, featuresCol="f").fit(sample.select(array_to_vector(part).alias("f")))
-        books.append([c.tolist() for c in model.clusterCenters()])
-    nearest = []
-    for s, book in enumerate(books):
-        part = F.slice("v", s * width + 1, width)
-        options = [F.struct(METRICS["l2"](part, literal(c)).alias("d"), F.lit(j).alias("j")) for j, c in enumerate(book)]
-        nearest.append((F.least(*options) if len(options) > 1 else options[0])["j"])
-    return codes.select("id", F.array(*nearest).alias("codes")), books
+    at, far = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(at) < min(k, len(x)) and far.max() > 0:
+        at.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[at[-1]]) ** 2).sum(axis=1))
+    c = x[at].copy()
+    for _ in range(rounds):
+        near = _nearest(x, c)
+        n = np.bincount(near, minlength=len(c))
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+    return c
+
+
+def _nearest(x, c):
+    return ((c**2).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
+
+
+def product_quantize(vectors: DataFrame, subspaces: int = 8, centroids: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", fit_rows: int = 10_000):
+    """Codes (id, codes) and codebooks of a product quantiser.
+
+    Codebooks are fitted on at most ``fit_rows`` rows (the first by a hash of the id); every row gets its codes, batch by batch.
+    """
+    import numpy as np
+    from pyspark.sql.types import ArrayType, IntegerType
+
+    sample = np.array([r[0] for r in vectors.orderBy(F.xxhash64(id_col), id_col).limit(fit_rows).select(F.col(vec_col).cast("array<double>")).collect()])
+    width = -(-sample.shape[1] // subspaces)
+    books = [_means(sample[:, s : s + width], centroids) for s in range(0, sample.shape[1], width)]
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def encode(v: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy()) if len(v) else np.empty((0, width * len(books)))
+        return pd.Series(list(np.stack([_nearest(x[:, s * width : (s + 1) * width], b) for s, b in enumerate(books)], axis=1).astype("int32")))
+
+    return vectors.select(F.col(id_col).alias("id"), encode(F.col(vec_col).cast("array<double>")).alias("codes")), [b.tolist() for b in books]
 
 
-def pq_knn(vectors: DataFrame, codes: DataFrame, books, query: Sequence[float], k: int, ef: int = 50, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def pq_knn(vectors: DataFrame, codes: DataFrame, books, query: Sequence[float], k: int, ef: int = 200, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Asymmetric distances from lookup tables pick max(4k, ef) candidates; exact distances rank them."""
     width = -(-len(query) // len(books))
     total = F.lit(0.0)
     for s, book in enumerate(books):
         q = query[s * width : (s + 1) * width]
-        table = F.array(*(F.lit(float(sum((a - b) ** 2 for a, b in zip(c, q, strict=False)))) for c in book))
-        total = total + F.get(table, F.get("codes", s))
+        distances = F.lit([float(sum((a - b) ** 2 for a, b in zip(c, q, strict=False))) for c in book])
+        total = total + F.get(distances, F.get("codes", s))
     near = codes.select("id", total.alias("adc")).orderBy("adc", "id").limit(max(4 * k, ef))
     return top(vectors.withColumnRenamed(id_col, "id").join(F.broadcast(near), "id").select("id", METRICS["l2"](F.col(vec_col), literal(query)).alias("dist")), k, "dist", descending=False)

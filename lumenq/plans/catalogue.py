@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import json as J
 from ..functions import text as T
 from ..functions import vector as V
+from ..operators import joins as X
 from ..operators import search as S
 from ..operators import sketches as K
 from ..streaming import log as L
@@ -96,7 +97,13 @@ _SHARED: dict[str, str] = {
     "group_multi": "SELECT o_orderstatus, o_orderpriority, o_custkey % 4 AS k, count(*) AS n, max(o_totalprice) AS top FROM {orders} GROUP BY o_orderstatus, o_orderpriority, o_custkey % 4",
     "group_expr": "SELECT o_orderkey % 10 AS d, count(*) AS n, round(avg(o_totalprice), 4) AS a FROM {orders} GROUP BY o_orderkey % 10",
     "having": "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey HAVING count(*) > 3 AND sum(o_totalprice) >= 1000",
+    "group_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping(o_orderpriority) = 1 AS is_sum FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
+    "group_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "group_sets": "SELECT o_orderstatus, o_orderpriority, round(max(o_totalprice), 2) AS top FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
     # windows
+    "win_frames": """SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 2) AS s, first_value(o_orderkey) OVER w AS f,
+        last_value(o_orderkey) OVER w AS l, nth_value(o_orderkey, 2) OVER w AS second, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW) AS near
+        FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
     "win_row_number": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM {orders}",
     "win_rank": "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) AS r, dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey) AS d FROM {orders}",
     "win_ntile": "SELECT c_custkey, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS q FROM {customer}",
@@ -115,7 +122,12 @@ _SHARED: dict[str, str] = {
     "union_all": "SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey FROM {supplier}",
     "intersect": "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}",
     "except": "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}",
+    "except_chain": "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders} EXCEPT SELECT s_suppkey FROM {supplier}",
+    "sort_nulls": """SELECT k, row_number() OVER (ORDER BY k DESC NULLS LAST, c_custkey) AS r, row_number() OVER (ORDER BY k ASC NULLS FIRST, c_custkey) AS q
+        FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey END AS k, c_custkey FROM {customer}) x""",
     # scalar functions
+    "fn_date": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, date_trunc('month', o_orderdate) AS month_start, o_orderdate + INTERVAL '3' DAY AS later, o_orderdate < TIMESTAMP '1995-06-01 00:00:00' AS early FROM {orders}",
+    "fn_regex": "SELECT p_partkey, regexp_replace(p_type, '[A-Z]+$', 'x') AS t, regexp_extract(p_brand, '([0-9]+)', 1) AS d FROM {part}",
     "fn_string": "SELECT c_custkey, length(c_name) AS n, upper(c_mktsegment) AS u, lower(c_name) AS l, coalesce(c_name, '') AS c FROM {customer}",
     "fn_math": "SELECT c_custkey, abs(c_acctbal) AS a, greatest(c_acctbal, 0, c_custkey) AS g, least(c_acctbal, c_custkey) AS s FROM {customer}",
 }
@@ -211,9 +223,10 @@ def _uuid(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.lower(raw).alias("u")).where(F.col("u").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"))
 
 
-@_query("uuid_generate")
+@_query("uuid_generate", "SELECT count(*) AS n, count(*) AS different, true AS well_formed FROM orders")
 def _uuid4(spark, d):
-    return table(spark, d, "region").select("r_regionkey", F.length(F.uuid()).alias("n"))
+    u = table(spark, d, "orders").select(F.uuid().alias("u"))
+    return u.agg(F.count("*").alias("n"), F.countDistinct("u").alias("different"), F.bool_and(F.col("u").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")).alias("well_formed"))
 
 
 # text
@@ -251,7 +264,8 @@ def _postings(spark, d):
 
 @_query("trigram_like", "SELECT doc_id FROM documents WHERE text LIKE '%License%'")
 def _trigram(spark, d):
-    return S.trigram_like(table(spark, d, "documents"), "License").select("doc_id")
+    docs = table(spark, d, "documents")
+    return S.trigram_like(docs, "License", index=S.trigram_postings(docs)).select("doc_id")
 
 
 @_query("trigram_sets", "SELECT p_partkey, CAST(len(list_distinct(list_transform(range(1, length(p_name) + 2), lambda i: substr('  ' || lower(p_name) || ' ', CAST(i AS INT), 3)))) AS BIGINT) AS n FROM part")
@@ -296,16 +310,26 @@ def _norms(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.size("embedding").alias("dim"))
 
 
-@_query("ann_lsh")
+def _recall(spark, d, search) -> DataFrame:
+    """Whether an approximate search finds at least 0.9 of the ten nearest, over five queries against all rows."""
+    vectors = table(spark, d, "embeddings")
+    found = None
+    for i in range(5):
+        q = _vector_of(spark, d, i)
+        both = search(vectors, q).select("id").join(S.knn(vectors, q, 10).select("id"), "id", "left_semi").agg(F.count("*").alias("n"))
+        found = both if found is None else found.union(both)
+    return found.agg((F.sum("n") >= 45).alias("recall_90"))
+
+
+@_query("ann_lsh", "SELECT true AS recall_90")
 def _lsh(spark, d):
-    return S.lsh_knn(table(spark, d, "embeddings"), _vector_of(spark, d), 10)
+    return _recall(spark, d, lambda vectors, q: S.lsh_knn(vectors, q, 10))
 
 
-@_query("ann_pq")
+@_query("ann_pq", "SELECT true AS recall_90")
 def _pq(spark, d):
-    vectors = table(spark, d, "embeddings")
-    codes, books = S.product_quantize(vectors)
-    return S.pq_knn(vectors, codes, books, _vector_of(spark, d), 10)
+    codes, books = S.product_quantize(table(spark, d, "embeddings"))
+    return _recall(spark, d, lambda vectors, q: S.pq_knn(vectors, codes, books, q, 10))
 
 
 _LEX = _bm25_sql(["license", "version", "work"], "ORDER BY score DESC, id LIMIT 50", "id, score")
@@ -410,6 +434,20 @@ def _shards(spark, d):
     return per.agg(F.count("*").alias("shards"), F.sum("n").alias("n"))
 
 
+@_query("join_asof", """SELECT p.event_id, c.click_id FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') p
+    ASOF LEFT JOIN (SELECT event_id AS click_id, user_id, ts FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts""")
+def _asof(spark, d):
+    e = table(spark, d, "events")
+    clicks = e.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), "user_id", "ts")
+    return X.asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", ["click_id"]).select("event_id", "click_id")
+
+
+@_query("join_interval", "SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_custkey >= p_partkey * 3 AND o_custkey < p_partkey * 3 + p_size")
+def _interval(spark, d):
+    spans = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") * 3).alias("lo"), (F.col("p_partkey") * 3 + F.col("p_size")).alias("hi"))
+    return X.interval_join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), spans, "o_custkey", "lo", "hi", 64).select("o_orderkey", "p_partkey")
+
+
 # copies in and out
 @_query("copy_csv", "SELECT * FROM nation")
 def _csv(spark, d):
@@ -584,6 +622,12 @@ def _tumbling(spark, d):
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
+@_query("stream_sliding", "SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes']) AS start FROM events) GROUP BY ALL")
+def _sliding(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy(F.window("ts", "1 hour", "30 minutes").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
 @_query("stream_session", """SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
     (SELECT user_id, ts, event_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
 def _session(spark, d):
