@@ -264,8 +264,14 @@ def _postings(spark, d):
 
 @_query("trigram_like", "SELECT doc_id FROM documents WHERE text LIKE '%License%'")
 def _trigram(spark, d):
-    docs = table(spark, d, "documents")
-    return S.trigram_like(docs, "License", index=S.trigram_postings(docs)).select("doc_id")
+    return S.trigram_like(table(spark, d, "documents"), "License").select("doc_id")
+
+
+@_query("trigram_index_like", "SELECT c_custkey FROM customer WHERE c_name LIKE '%mer#%12%' AND contains(c_name, '012')")
+def _trigram_index(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    index = S.trigram_postings(c, "c_custkey", "c_name")
+    return S.trigram_like(S.trigram_like(c, "012", "c_name", index, "c_custkey"), "mer#", "c_name", index, "c_custkey").where("c_name LIKE '%mer#%12%'").select("c_custkey")
 
 
 @_query("trigram_sets", "SELECT p_partkey, CAST(len(list_distinct(list_transform(range(1, length(p_name) + 2), lambda i: substr('  ' || lower(p_name) || ' ', CAST(i AS INT), 3)))) AS BIGINT) AS n FROM part")
