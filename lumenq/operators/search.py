@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.json import get_text
 from ..functions.text import tokenise, trigrams
 from ..functions.vector import METRICS, dot, literal
 
@@ -30,6 +31,28 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return toks.select("id", "dl", F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
+def reindex(index: DataFrame, changed: DataFrame, removed: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The inverted index after a batch of changed documents and removed ids (both by id_col); only the batch is tokenised."""
+    gone = changed.select(F.col(id_col).alias("id"))
+    if removed is not None:
+        gone = gone.union(removed.select(F.col(id_col).alias("id")))
+    new = postings(changed, id_col, text_col)
+    if removed is not None:
+        new = new.join(removed.select(F.col(id_col).alias("id")), "id", "left_anti")
+    return index.join(gone, "id", "left_anti").select("term", "id", "dl", "tf").unionByName(new.select("term", "id", "dl", "tf"))
+
+
+def json_path_index(rows: DataFrame, id_col: str, col: str, *steps: str | int) -> DataFrame:
+    """value, id: what an index on a path of a JSON column holds; rows without the path aren't in it."""
+    return rows.select(get_text(F.col(col), *steps).alias("value"), F.col(id_col).alias("id")).where(F.col("value").isNotNull())
+
+
+def json_path_lookup(rows: DataFrame, index: DataFrame, id_col: str, col: str, value: str, *steps: str | int) -> DataFrame:
+    """Rows whose path has the value: ids from the index, then checked again on the rows themselves."""
+    hit = index.where(F.col("value") == value).select(F.col("id").alias(id_col)).distinct()
+    return rows.join(hit, id_col, "left_semi").where(get_text(F.col(col), *steps) == value)
+
+
 def _times(tokens: Column, term: str) -> Column:
     return F.size(F.filter(tokens, lambda x: x == term))
 

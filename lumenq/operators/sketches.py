@@ -58,6 +58,26 @@ def quantiles(df: DataFrame, col: str, ps: list[float]) -> DataFrame:
     return df.agg(F.kll_sketch_agg_double(F.col(col).cast("double")).alias("s")).select(F.array(*(F.kll_sketch_get_quantile_double("s", F.lit(p)) for p in ps)).alias("quantiles"))
 
 
+def quantile_sketch(df: DataFrame, col: str, *keys: str) -> DataFrame:
+    """One KLL sketch a group (column sketch)."""
+    return df.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(col).cast("double")).alias("sketch"))
+
+
+def quantile_merge(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Sketches of parts as one of the whole."""
+    return sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def cdf(sketches: DataFrame, values: list[float]) -> DataFrame:
+    """sketches with an array of the shares of rows at or below each value."""
+    return sketches.withColumn("cdf", F.array(*(F.kll_sketch_get_rank_double("sketch", F.lit(float(v))) for v in values)))
+
+
+def count_min_top(sketch: DataFrame, values: DataFrame, col: str, k: int, width: int = CMS_WIDTH, depth: int = CMS_DEPTH) -> DataFrame:
+    """value, estimate of the k most frequent values by the sketch."""
+    return count_min_estimate(sketch, values, col, width, depth).orderBy(F.desc("estimate"), "value").limit(k)
+
+
 def trimmed_mean(df: DataFrame, col: str, lo: float, hi: float) -> DataFrame:
     cuts = df.agg(F.percentile(col, lo).alias("lo"), F.percentile(col, hi).alias("hi"))
     return df.crossJoin(F.broadcast(cuts)).where(F.col(col).between(F.col("lo"), F.col("hi"))).agg(F.avg(col).alias("trimmed_mean"))  # cuts is one row
@@ -84,3 +104,14 @@ def between_selectivity(hist: list[tuple[int, int]], lo: float, hi: float, a: fl
 def bitmap(df: DataFrame, col: str) -> DataFrame:
     """bucket, bitmap of a set of non-negative ids."""
     return df.select(F.col(col).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bitmap"))
+
+
+def bitmap_sizes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row of set sizes: n_and, n_or, n_xor, n_and_not (in a but not in b); a and b are bitmaps by bucket."""
+    pair = a.withColumnRenamed("bitmap", "x").join(b.withColumnRenamed("bitmap", "y"), "bucket", "full")
+    none = F.lit(0).cast("long")
+    size = lambda c: F.coalesce(F.bitmap_count(c), none)
+    both = a.unionByName(b).groupBy("bucket").agg(F.when(F.count("*") == 2, F.bitmap_count(F.bitmap_and_agg("bitmap"))).otherwise(none).alias("n"))
+    joined = pair.join(both, "bucket").select(size("x").alias("x"), size("y").alias("y"), "n")
+    total = lambda c: F.coalesce(F.sum(c), none)
+    return joined.agg(total(F.col("n")).alias("n_and"), total(F.col("x") + F.col("y") - F.col("n")).alias("n_or"), total(F.col("x") + F.col("y") - 2 * F.col("n")).alias("n_xor"), total(F.col("x") - F.col("n")).alias("n_and_not"))

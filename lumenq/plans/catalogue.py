@@ -7,9 +7,8 @@ tables it names. Other entries build a DataFrame with the library and state the
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import json as J
@@ -19,19 +18,10 @@ from ..operators import joins as X
 from ..operators import search as S
 from ..operators import sketches as K
 from ..streaming import log as L
-
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def run_sql(spark: SparkSession, sf_dir: str, sql: str, **args) -> DataFrame:
-    """Spark SQL over the driver's tables that the text names; {name} marks a table."""
-    named = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql, args=args or None, **{n: table(spark, sf_dir, n) for n in named})
-
+from . import services  # noqa: F401  registers its queries
+from .base import BUILT as _BUILT
+from .base import Build, database as _db, run_sql, table
+from .base import query as _query
 
 #: name -> SQL for both engines; tables in braces.
 _SHARED: dict[str, str] = {
@@ -132,18 +122,6 @@ _SHARED: dict[str, str] = {
     "fn_math": "SELECT c_custkey, abs(c_acctbal) AS a, greatest(c_acctbal, 0, c_custkey) AS g, least(c_acctbal, c_custkey) AS s FROM {customer}",
 }
 
-Build = Callable[[SparkSession, str], DataFrame]
-_BUILT: dict[str, tuple[Build, str | None]] = {}
-
-
-def _query(name: str, sql: str | None = None):
-    def put(fn: Build) -> Build:
-        _BUILT[name] = (fn, sql)
-        return fn
-
-    return put
-
-
 @_query("prepared_param", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 10 AND o_totalprice > 1000.5")
 def _prepared(spark, d):
     return run_sql(spark, d, "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_custkey = :p1 AND o_totalprice > :p2", p1=10, p2=1000.5)
@@ -419,14 +397,11 @@ def _hist(spark, d):
 
 
 @_query("bitmap_ops", """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O')
-    SELECT (SELECT count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)) AS n_and, (SELECT count(*) FROM (SELECT k FROM a UNION SELECT k FROM b)) AS n_or, (SELECT count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b)) AS n_and_not""")
+    SELECT (SELECT count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)) AS n_and, (SELECT count(*) FROM (SELECT k FROM a UNION SELECT k FROM b)) AS n_or, (SELECT count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b)) AS n_and_not,
+    (SELECT count(*) FROM a FULL JOIN b USING (k) WHERE a.k IS NULL OR b.k IS NULL) AS n_xor""")
 def _bitmaps(spark, d):
     o = table(spark, d, "orders")
-    a, b = (K.bitmap(o.where(F.col("o_orderstatus") == s), "o_custkey") for s in "FO")
-    both = a.withColumnRenamed("bitmap", "x").join(b.withColumnRenamed("bitmap", "y"), "bucket", "full")
-    each = a.unionByName(b).groupBy("bucket").agg(F.bitmap_count(F.bitmap_or_agg("bitmap")).alias("o"), F.when(F.count("*") == 2, F.bitmap_count(F.bitmap_and_agg("bitmap"))).otherwise(0).alias("n"))
-    sizes = both.groupBy().agg(F.sum(F.bitmap_count("x")).alias("na"))
-    return each.agg(F.sum("n").alias("n_and"), F.sum("o").alias("n_or")).crossJoin(sizes).select("n_and", "n_or", (F.col("na") - F.col("n_and")).alias("n_and_not"))
+    return K.bitmap_sizes(*(K.bitmap(o.where(F.col("o_orderstatus") == x), "o_custkey") for x in "FO"))
 
 
 @_query("analyze_table", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS ndv, round(count(DISTINCT o_custkey) / count(*), 6) AS selectivity, min(o_custkey) AS lo, max(o_custkey) AS hi FROM orders")
@@ -485,18 +460,6 @@ def _parquet(spark, d):
 
 
 # what statements leave behind: each runs in a session over a catalogue of its own
-def _db(spark, d, **tables: str):
-    """A session whose tables have the rows of the driver's tables of the same names."""
-    from ..session import Session
-    from ..sources.copying import scratch
-
-    db = Session(spark, scratch(spark, "db"))
-    for name, columns in tables.items():
-        db.execute(f"CREATE TABLE {name} ({columns})")
-        db.catalog.commit(name, table(spark, d, name))
-    return db
-
-
 _ORDERS = "o_orderkey BIGINT PRIMARY KEY, o_custkey BIGINT {}, o_orderstatus TEXT, o_totalprice DOUBLE CHECK (o_totalprice >= 0)"
 _CUSTOMER = "c_custkey BIGINT PRIMARY KEY, c_nationkey INT"
 

@@ -21,6 +21,7 @@ from . import frontend as fe
 from .catalog import Catalog, CatalogError
 from .functions import json as J
 from .operators import search as S
+from .operators.routing import scan_path
 from .sources import copying
 
 
@@ -168,7 +169,7 @@ class Session:
         if self.overlay is None:
             self.base = {}
         run = getattr(self, "_do_" + kind.lower().replace(" ", "_"), None)
-        if kind in ("SELECT", "SEARCH"):
+        if kind in ("SELECT", "SEARCH", "LIKEV"):
             return Result("SELECT", self._select(sql, params))
         if run is None:
             raise fe.SqlError(f"{kind} is not supported")
@@ -190,6 +191,15 @@ class Session:
             docs = t.select(F.col(key), F.col(text).alias("text"))
             vectors = t.where(F.col(vec).isNotNull()).select(F.col(key), F.col(vec).alias("embedding"))
             return S.hybrid(docs, vectors, m[2].replace("''", "'"), [float(x) for x in m[3].split(",")], int(m[4]), id_col=key, vec_id=key)
+        if m := re.fullmatch(r"\s*LIKEV\s+VEC\s+\[([^\]]*)\]\s+IN\s+(\w+)\s+TOP\s+(\d+)\s*", sql, re.I):
+            t = self.table(m[2].lower())
+            key = t.columns[0]
+            vec = next((f.name for f in t.schema if isinstance(f.dataType, ArrayType)), None)
+            if vec is None:
+                raise fe.SqlError(f"{m[2]} has no vector column")
+            return S.knn(t.where(F.col(f"`{vec}`").isNotNull()), [float(x) for x in m[1].split(",")], int(m[3]), id_col=key, vec_col=vec).withColumnRenamed("id", key)
+        if fe.classify(sql) == "LIKEV":
+            raise fe.SqlError("LIKEV VEC [..] IN t TOP k")
         if fe.classify(sql) == "SEARCH":
             raise fe.SqlError("SEARCH HYBRID ON t LEXICAL '..' VECTOR [..] TOP k")
         if m := re.search(r"information_schema\s*\.\s*(tables|columns|statistics|key_column_usage|table_constraints)", sql, re.I):
@@ -803,7 +813,8 @@ class Session:
         sql = " ".join(rest)
         df = self._select(sql)
         plan = df._jdf.queryExecution().toString()
-        return Result("EXPLAIN", self.spark.createDataFrame([(f"workload: {fe.workload(sql)}",), *((x,) for x in plan.split("\n"))], "plan string"))
+        keys = [c for n in self._frames(sql) for c in self._manifest(n)["constraints"].get("primary") or []]
+        return Result("EXPLAIN", self.spark.createDataFrame([(f"workload: {fe.workload(sql)}",), (f"path: {scan_path(rest, keys)}",), *((x,) for x in plan.split("\n"))], "plan string"))
 
     def _do_vacuum(self, toks):
         n = sum(self.catalog.expire(t) for t in ([_name(toks[1])] if len(toks) > 1 else self._tables()))

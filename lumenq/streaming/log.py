@@ -90,3 +90,26 @@ def tumbling(events: DataFrame, ts: str, width: str, *keys: str, late: str | Non
 def sessions(events: DataFrame, ts: str, gap: str, *keys: str, late: str | None = None) -> DataFrame:
     src = events.withWatermark(ts, late) if late else events
     return src.groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def running(events: DataFrame, key: str, value: str) -> DataFrame:
+    """A stateful stream: key, n, top (rows and largest value so far) of each key that a micro-batch touches.
+
+    State is one small pair a key, in the checkpointed state store; null keys are a key, null values count as rows only.
+    """
+    kind = events.schema[key].dataType.simpleString()
+
+    def step(k, parts, state):
+        import pandas as pd
+
+        n, top = state.get if state.exists else (0, None)
+        for part in parts:
+            n += len(part)
+            seen = part[value].dropna()
+            if len(seen):
+                top = float(seen.max()) if top is None else max(top, float(seen.max()))
+        state.update((n, top))
+        yield pd.DataFrame({key: [k[0]], "n": [n], "top": [top]})
+
+    schema = f"`{key}` {kind}, n long, top double"
+    return events.select(key, value).groupBy(key).applyInPandasWithState(step, schema, "n long, top double", "append", "NoTimeout")
