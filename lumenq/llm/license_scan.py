@@ -11,10 +11,12 @@ counts, so a licence whose words contain those of another is not taken for it.
 
 Regions: a long template's longest required word is its key. Without one, a notice that counts lacks at most
 so many of the template's words that it holds one of any one more of them; the template's rarest such words
-are its keys. Regions are the neighbourhoods of keys, one template length to either side, so that every notice lies in one, long texts
-cost no more than their length, and a notice that is repeated is found each time.
+are its keys. A region is first the stretch around a key that the template would cover, a quarter more to either side; where no notice
+is there, the neighbourhood of one template length to either side (in steps where neighbourhoods run together), so that every notice
+lies in one, and a notice that is repeated is found each time, however closely.
 
-Null and empty texts have no notices; repeated rows are scanned each; other columns are dropped.
+Null and empty texts have no notices; an empty table gives no rows; very long texts are scanned whole, in time about linear in
+their length; repeated rows are scanned each; other columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -179,6 +182,7 @@ class Scanner:
             self.forms.append((name, ws, frozenset(keys), required, wanted))
         #: Substrings of which any text with a key has one; few scans at the speed of C decide most texts.
         self.keys = sorted({k for _, _, ks, _, _ in self.forms for k in ks})
+        self._all = frozenset(self.keys)
         self.first = [k for k in self.keys if not any(o != k and o in k for o in self.keys)]
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
@@ -202,8 +206,26 @@ class Scanner:
                     if w in self._all:
                         places[w].append(i)
             n = len(form)
-            spans: list[list[int]] = []
+            at_form = {k: [j for j, w in enumerate(form) if w == k] for k in held}
+            of_form = set(form)
+            like = [0, *accumulate(w in of_form for w in ws)]
+            # Close around a key first: a neighbour of the same wording can't lend its words there.
+            rest, done = [], 0
             for i in sorted(i for k in held for i in places[k]):
+                if i < done:
+                    continue
+                best = None
+                for j in at_form[ws[i]]:
+                    lo, hi = max(done, i - j - n // 4 - 2), min(len(ws), i - j + n + n // 4 + 2)
+                    if like[max(lo, hi)] - like[lo] >= wanted and (got := self._fit(ws, lo, hi, form, wanted, required)) and got[0]:
+                        best = max(best or got[0], got[0], key=lambda x: (x[2], x[0] - x[1]))
+                if best:
+                    done = best[1]
+                    found.append((best[0], best[1], name, best[2] / n, best[2]))
+                else:
+                    rest.append(i)
+            spans: list[list[int]] = []
+            for i in rest:
                 lo, hi = max(0, i - n), min(len(ws), i + n + 1)
                 if spans and i - spans[-1][2] < n // 2:
                     spans[-1][1:] = hi, i
@@ -211,24 +233,48 @@ class Scanner:
                     spans.append([lo, hi, i])
             for lo, hi, _ in spans:
                 while lo < hi:
-                    pairs = align(ws[lo:hi], form)
-                    if len(pairs) < wanted:
+                    stop = min(hi, lo + 4 * n)  # a notice is at most 2 n words long: steps of 2 n miss none
+                    got = self._fit(ws, lo, stop, form, wanted, required) if like[stop] - like[lo] >= wanted else None
+                    if got:
+                        if got[0]:
+                            found.append((got[0][0], got[0][1], name, got[0][2] / n, got[0][2]))
+                        lo = got[1]
+                    elif stop < hi:
+                        lo += 2 * n
+                    else:
                         break
-                    pairs = self._dense(pairs, n)
-                    if len(pairs) >= wanted and required <= {form[j] for _, j in pairs}:
-                        first, end = lo + pairs[0][0], lo + pairs[-1][0] + 1
-                        if end - first > len(pairs):  # what came before may have lent its first words: the same from the end
-                            back = align(ws[first:end][::-1], form[::-1])
-                            if len(back) >= len(pairs) and required <= {form[n - 1 - j] for _, j in back}:
-                                first, pairs = end - 1 - back[-1][0], [(end - 1 - i - lo, n - 1 - j) for i, j in reversed(back)]
-                        found.append((first, end, name, len(pairs) / n, len(pairs)))
-                    lo += max(pairs[-1][0], 0) + 1
         found.sort(key=lambda x: (-x[4], -x[3], x[1] - x[0], x[0], x[2]))
         kept: list = []
         for x in found:
-            if all(x[1] <= y[0] or x[0] >= y[1] for y in kept):
-                kept.append(x)
-        return sorted(x[:4] for x in kept)
+            k = bisect_left(kept, x[0], key=lambda y: y[0])
+            if (k == 0 or kept[k - 1][1] <= x[0]) and (k == len(kept) or x[1] <= kept[k][0]):
+                kept.insert(k, x)
+        return [x[:4] for x in kept]
+
+    def _fit(self, ws, lo, hi, form, wanted, required):
+        """((first word, end word, matched words) or None, where to go on) of a region; None where too few words match."""
+        n = len(form)
+        pairs = align(ws[lo:hi], form)
+        if len(pairs) < wanted:
+            return None
+        pairs = self._dense(pairs, n)
+        if len(pairs) >= wanted and required <= {form[j] for _, j in pairs}:
+            at = [lo + i for i, _ in pairs]
+            if at[-1] - at[0] >= len(at):
+                self._draw(ws, [form[j] for _, j in pairs], at)
+            return (at[0], at[-1] + 1, len(at)), at[-1] + 1
+        return None, lo + pairs[-1][0] + 1
+
+    @staticmethod
+    def _draw(ws, words, at):
+        """Draws the places of matched words together: what lies before or behind a notice may have lent it words that it holds itself."""
+        for k in range(1, len(at)):
+            at[k] = ws.index(words[k], at[k - 1] + 1)
+        for k in range(len(at) - 2, -1, -1):
+            i = at[k + 1] - 1
+            while ws[i] != words[k]:
+                i -= 1
+            at[k] = i
 
     @staticmethod
     def _dense(pairs, n):
@@ -241,10 +287,6 @@ class Scanner:
                 best = pairs[i : j + 1]
         return best
 
-    @property
-    def _all(self):
-        return set(self.keys)
-
 
 def scan_licenses(documents: DataFrame, templates: dict[str, list[str]] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, notices (array of first word, end word, license, coverage) for each row; a narrow map."""
